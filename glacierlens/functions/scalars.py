@@ -125,11 +125,18 @@ def speed(vx, vy) -> Column:
     return F.sqrt(_c(vx) * _c(vx) + _c(vy) * _c(vy))
 
 
+def title_case(col) -> Column:
+    """Upper case for each letter that does not follow a letter."""
+    chars = F.split(F.lower(_c(col)), "")
+    after_letter = lambda i: F.coalesce(F.get(chars, i - 1), F.lit("")).rlike("\\p{L}")
+    return F.array_join(F.transform(chars, lambda ch, i: F.when(after_letter(i), ch).otherwise(F.upper(ch))), "")
+
+
 def clean_name(col) -> Column:
     """Drop junk at the end of a name, trim, title case; NULL becomes ''."""
     junk = "".join("\\" + ch if ch in "^]\\/`-" else ch for ch in TRAILING_JUNK)
     stripped = F.regexp_replace(_c(col), f"[{junk}]+$", "")
-    return F.coalesce(F.initcap(F.trim(stripped)), F.lit(""))
+    return F.coalesce(title_case(F.trim(stripped)), F.lit(""))
 
 
 def kelvin_to_celsius(col) -> Column:

@@ -185,6 +185,32 @@ class Views:
         ).agg(F.min("p_partkey").alias("idx"))
 
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Attributes of the 1-degree cells; about half of the cells have a row."""
+        k = F.col("c_custkey")
+        return self.table("customer").groupBy(
+            (66 + k % 40).cast("double").alias("cell_lon"), (25 + k * 3 % 22).cast("double").alias("cell_lat")
+        ).agg((F.avg("c_acctbal") / 1000.0).alias("pdd"), (F.min("c_acctbal") / 2000.0).alias("vshift"))
+
+    @cached_property
+    def fpx(self) -> DataFrame:
+        """Footprints before the height change is computed."""
+        geoid = 30 + F.col("lat") / 10.0
+        return self.fp.select(
+            "track", "lon", "lat", "obs_day", "elev_ref", geoid.alias("geoid"),
+            (F.col("dh") + F.col("elev_ref") + geoid).alias("h_obs"),
+            (F.col("obs_day") % 4).alias("sat_flag"), (F.col("slope_deg") / 100.0).alias("sat_corr"),
+        )
+
+    @cached_property
+    def hpoly(self) -> DataFrame:
+        """The rectangles as rings of one hierarchy."""
+        return self.poly.select(
+            F.lit("r22").alias("hier"), F.col("id").cast("long").alias("id"), F.lit(0).alias("ring"), "vertex", "x", "y"
+        )
+
+
 SQL_VIEWS: dict[str, str] = {
     "fp": """select concat(l_returnflag, l_linestatus) as track,
   66e0 + ((l_partkey * 7) % 4000) / 100e0 as lon,
@@ -235,6 +261,13 @@ from embeddings, range(1, 65) t(i)""",
   avg(o_totalprice) / 100e0 - 2500e0 as mb from orders join customer on o_custkey = c_custkey group by 1, 2""",
     "pts": """select 66e0 + (p_partkey * 7 % 81) * 0.5e0 as lon, 25e0 + (p_partkey * 11 % 45) * 0.5e0 as lat,
   min(p_partkey) as idx from part group by 1, 2""",
+    "cells": """select cast(66 + c_custkey % 40 as double) as cell_lon, cast(25 + c_custkey * 3 % 22 as double) as cell_lat,
+  avg(c_acctbal) / 1000e0 as pdd, min(c_acctbal) / 2000e0 as vshift from customer group by 1, 2""",
+    "fpx": """select track, lon, lat, obs_day, elev_ref, 30 + lat / 10e0 as geoid,
+  dh + elev_ref + (30 + lat / 10e0) as h_obs, obs_day % 4 as sat_flag, slope_deg / 100e0 as sat_corr from fp""",
+    "fpc": """select f.*, coalesce(c.pdd, 0e0) as pdd, coalesce(c.vshift, 0e0) as vshift from fpx f
+  left join cells c on floor(f.lon) = c.cell_lon and floor(f.lat) = c.cell_lat""",
+    "edge": """select a.id, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from poly a join poly b on a.id = b.id and b.vertex = a.vertex + 1""",
     # calendar windows, days relative to 1995-01-01, half-open
     "win_year": """select k.win_kind, cast(year(d.s) as int) as win_id,
   date_diff('day', date '1995-01-01', cast(d.s as date)) as start_day,
@@ -259,7 +292,9 @@ from (select unnest(generate_series(timestamp '1995-01-01', timestamp '2001-10-0
     "cfp": "select f.*, cast(floor(lon) * 1000 + floor(lat) as int) as cell from fp f",
 }
 
-_NEEDS = {"scores": ["mon"], "hfp": ["fp"], "cfp": ["fp"]}
+_NEEDS = {
+    "scores": ["mon"], "hfp": ["fp"], "cfp": ["fp"], "fpx": ["fp"], "fpc": ["fpx", "fp", "cells"], "edge": ["poly"],
+}
 
 
 def with_views(sql: str) -> str:

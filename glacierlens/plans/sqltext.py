@@ -47,3 +47,12 @@ from med m left join st s on {om}"""
 def windowed(win: str, src: str = "fp", extra: str = "") -> str:
     """Sub-select of footprints joined with a window table."""
     return f"(select f.*, w.win_kind, w.win_id from {src} f join {win} w on f.obs_day >= w.start_day and f.obs_day < w.end_day {extra})"
+
+
+def inside(px: str, py: str, src: str, keys: str) -> str:
+    """(keys, id) for the polygons of ``edge`` around each point of ``src``."""
+    return f"""(select {keys}, e.id from {src} join edge e on true group by {keys}, e.id, {px}, {py}
+  having sum(case when (y1 > {py}) <> (y2 > {py})
+      and {px} < (x2 - x1) * ({py} - y1) / (y2 - y1) + x1 then 1 else 0 end) % 2 = 1
+    or max(case when (x2 - x1) * ({py} - y1) - (y2 - y1) * ({px} - x1) = 0 and {px} between least(x1, x2) and greatest(x1, x2)
+      and {py} between least(y1, y2) and greatest(y1, y2) then 1 else 0 end) = 1)"""
