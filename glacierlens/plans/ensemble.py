@@ -11,6 +11,7 @@ from glacierlens.operators import series as se
 from glacierlens.operators import setops as so
 from glacierlens.plans.registry import query, rounded
 from glacierlens.plans.sqltext import R
+from glacierlens.session import settle
 
 RUN = ["rgi_id", "gcm", "ssp"]
 
@@ -186,7 +187,7 @@ g as (select unnest(generate_series(0, cast(ceil((max(top) + 1) / 0.5e0) as bigi
 select g as x, {R('(select ' + _QVAL + ' from u)', 4)} as upper, {R('(select ' + _QVAL + ' from l)', 4)} as lower, {R('(select ' + _QVAL + ' from m)', 4)} as mean
 from g""")
 def _(v):
-    levels = en.binned_response(_response(v))
+    levels = settle(en.binned_response(_response(v)))
     top = levels.agg(F.max("score").alias("_top"))
     use = en.drop_last_levels(levels, "score", 2)
     out = None
@@ -406,13 +407,13 @@ def _(v):
     return rounded(en.assemble_axis(r, "rgi_id", "yr", ["volume", "area"]))
 
 
-@query("S11_combine_members", f"""select rgi_id, yr, gcm, ssp, {R('volume')} as volume, case when gcm = 'F' and ssp = '2' then null else area end as area
-from runs where (gcm = 'F' and ssp in ('1', '2')) or (gcm = 'O' and ssp = '1')""")
+@query("S11_combine_members", f"""select rgi_id, yr, gcm, ssp, {R('volume')} as volume, case when gcm = 'F' and ssp = '2' then null else area end as area from runs""")
 def _(v):
     def member(gcm, ssp):
-        return v.runs.where((F.col("gcm") == gcm) & (F.col("ssp") == ssp)).drop("gcm", "ssp")
+        part = v.runs.where((F.col("gcm") == gcm) & (F.col("ssp") == ssp)).drop("gcm", "ssp")
+        return part.drop("area") if (gcm, ssp) == ("F", "2") else part
 
-    return rounded(en.combine_members([(member("F", "1"), "F", "1"), (member("F", "2").drop("area"), "F", "2"), (member("O", "1"), "O", "1")]))
+    return rounded(en.combine_members([(member(g, s), g, s) for g in "FOP" for s in "12345"]))
 
 
 # ---- set operations and order

@@ -203,6 +203,15 @@ class Views:
             (F.col("obs_day") % 4).alias("sat_flag"), (F.col("slope_deg") / 100.0).alias("sat_corr"),
         )
 
+    @cached_property
+    def par(self) -> DataFrame:
+        """Calibrated parameters, one row per glacier of ``mon`` and ``bins``."""
+        k = F.col("n_nationkey")
+        return self.table("nation").select(
+            k.alias("glacier_id"), (3800 + k * 20).cast("double").alias("ref_hgt"),
+            (90.0 + k * 2.5).alias("mu"), ((k % 3) * 50).cast("double").alias("bias"),
+        )
+
     @cached_property
     def hpoly(self) -> DataFrame:
         """The rectangles as rings of one hierarchy."""
@@ -268,6 +277,13 @@ from embeddings, range(1, 65) t(i)""",
     "fpc": """select f.*, coalesce(c.pdd, 0e0) as pdd, coalesce(c.vshift, 0e0) as vshift from fpx f
   left join cells c on floor(f.lon) = c.cell_lon and floor(f.lat) = c.cell_lat""",
     "edge": """select a.id, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from poly a join poly b on a.id = b.id and b.vertex = a.vertex + 1""",
+    "par": """select n_nationkey as glacier_id, cast(3800 + n_nationkey * 20 as double) as ref_hgt,
+  90e0 + n_nationkey * 2.5e0 as mu, cast((n_nationkey % 3) * 50 as double) as bias from nation""",
+    "pt": """select c.glacier_id, c.yr, c.mo, b.bin_id, b.height, b.width, p.mu, p.bias, c.t as temp, c.p as prcp,
+  greatest(c.t + 1, 0) as melt, c.p * least(greatest(1 - c.t / 2e0, 0), 1) as snow
+from (select m.glacier_id, m.yr, m.mo, b.bin_id, m.temp - 0.0065e0 * (b.height - p.ref_hgt) as t, m.prcp * 2.5e0 as p
+  from mon m join par p on m.glacier_id = p.glacier_id join bins b on m.glacier_id = b.glacier_id) c
+join bins b on c.bin_id = b.bin_id join par p on c.glacier_id = p.glacier_id""",
     # calendar windows, days relative to 1995-01-01, half-open
     "win_year": """select k.win_kind, cast(year(d.s) as int) as win_id,
   date_diff('day', date '1995-01-01', cast(d.s as date)) as start_day,
@@ -293,7 +309,7 @@ from (select unnest(generate_series(timestamp '1995-01-01', timestamp '2001-10-0
 }
 
 _NEEDS = {
-    "scores": ["mon"], "hfp": ["fp"], "cfp": ["fp"], "fpx": ["fp"], "fpc": ["fpx", "fp", "cells"], "edge": ["poly"],
+    "scores": ["mon"], "hfp": ["fp"], "cfp": ["fp"], "fpx": ["fp"], "fpc": ["fpx", "fp", "cells"], "edge": ["poly"], "pt": ["mon", "par", "bins"],
 }
 
 
@@ -307,6 +323,9 @@ def with_views(sql: str) -> str:
     ctes = [f"{n} as (\n{SQL_VIEWS[n]}\n)" for n in ordered]
     body = sql.strip()
     if body[:5].lower() == "with ":
-        head = "with " + (",\n".join(ctes) + ",\n" if ctes else "")
-        return head + body[5:]
+        rest = body[5:].lstrip()
+        word = "with "
+        if rest.lower().startswith("recursive "):
+            word, rest = "with recursive ", rest[10:]
+        return word + (",\n".join(ctes) + ",\n" if ctes else "") + rest
     return ("with " + ",\n".join(ctes) + "\n" if ctes else "") + body
