@@ -27,15 +27,16 @@ def order_bucket(value: Column, unit: float = 1.0) -> Column:
     return (F.signum(value) * F.floor(octaves * PER_OCTAVE)).cast("long")
 
 
-def rank_position(n: Column, p: float, kind: str) -> Column:
+def rank_position(n: Column, p: float | Column, kind: str) -> Column:
     """1-based fractional rank of percentile ``p`` (0..1) among n sorted values.
 
     ``linear`` is (n-1)p+1; ``midpoint`` puts sample i at (i-0.5)/n and clamps.
     """
+    p = p if isinstance(p, Column) else F.lit(float(p))
     if kind == "linear":
-        return (n - 1) * F.lit(float(p)) + 1
+        return (n - 1) * p + 1
     if kind == "midpoint":
-        return F.least(F.greatest(n * F.lit(float(p)) + 0.5, F.lit(1.0)), n.cast("double"))
+        return F.least(F.greatest(n * p + 0.5, F.lit(1.0)), n.cast("double"))
     raise ValueError(f"unknown percentile kind {kind!r}")
 
 
@@ -43,11 +44,14 @@ def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: Mapping[str, float],
+    probs: Mapping[str, float | Column],
     kind: str = "linear",
     unit: float = 1.0,
 ) -> DataFrame:
-    """One row per key: ``n`` and one exact percentile column per entry of ``probs``."""
+    """One row per key: ``n`` and one exact percentile column per entry of ``probs``.
+
+    A percentile may be a column, if it is made of ``keys`` only.
+    """
     keys = list(keys)
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))

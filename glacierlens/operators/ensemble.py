@@ -52,7 +52,7 @@ def region_total_uncertainty(runs: DataFrame, keys: Sequence[str], value: str) -
 def weighted(value: Column, weight: Column) -> Column:
     """Weighted mean as an aggregate, ignoring NULLs and weights of 0 or less."""
     ok = value.isNotNull() & weight.isNotNull() & (weight > 0)
-    return F.sum(F.when(ok, value * weight)) / F.sum(F.when(ok, weight))
+    return F.try_divide(F.sum(F.when(ok, value * weight)), F.sum(F.when(ok, weight)))
 
 
 def weighted_avg(df: DataFrame, keys: Sequence[str], value: str, weight: str, strict: bool = False) -> DataFrame:
@@ -251,7 +251,7 @@ def geodetic_residual(model: DataFrame, ref: DataFrame) -> DataFrame:
     both = m.join(ref, "rgi_id")
 
     def mean(v, w, test):
-        return F.sum(F.when(test, v * w)) / F.sum(F.when(test, w))
+        return F.try_divide(F.sum(F.when(test, v * w)), F.sum(F.when(test, w)))
 
     measured, every = ~F.col("is_cor"), F.lit(True)
     ref_mm, ra, net, ma = F.col("dmdtda") * 1000.0, F.col("area"), F.col("_net"), F.col("_ma")
@@ -357,5 +357,5 @@ def loss_summary(df: DataFrame, keys: Sequence[str], value: str, y0: int, y1: in
         return F.max(F.when(F.col("yr") == y, F.col(value)))
 
     a, b, c = at(y0), at(y1), at(y2)
-    first, second = ((1 - b / a), ((b - c) / a)) if relative else (a - b, b - c)
+    first, second = ((1 - F.try_divide(b, a)), F.try_divide(b - c, a)) if relative else (a - b, b - c)
     return df.groupBy(*keys).agg(first.alias("loss_past"), second.alias("loss_future"))

@@ -48,7 +48,7 @@ def _inside(edges: Column, px: Column, py: Column) -> Column:
 
     def crossing(e):
         straddles = (e["y1"] > py) != (e["y2"] > py)
-        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        at = F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
         return F.when(straddles & (px < at), 1).otherwise(0)
 
     def on_edge(e):
@@ -207,7 +207,7 @@ def zonal_mean(features: DataFrame, weights: DataFrame, pixel: DataFrame, bands:
     aggs = []
     for b in bands:
         ok = F.when(F.col(b).isNotNull() & ~F.isnan(b), F.col("w"))
-        aggs.append((F.sum(ok * F.col(b)) / F.sum(ok)).alias(b))
+        aggs.append(F.try_divide(F.sum(ok * F.col(b)), F.sum(ok)).alias(b))
     means = joined.groupBy("id", *by).agg(*aggs)
     return features.select("id").distinct().join(means, "id", "left")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glacierlens.plans import altimetry, balance, climate, ensemble, spatial  # noqa: F401
+from glacierlens.plans import altimetry, balance, climate, ensemble, scenario, spatial, terrain  # noqa: F401
 from glacierlens.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
