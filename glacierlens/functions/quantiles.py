@@ -54,52 +54,52 @@ def group_quantiles(
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("_v"))
-    rows = rows.withColumn("_b", order_bucket(F.col("_v"), unit))
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
+    rows = rows.withColumn("__b", order_bucket(F.col("__v"), unit))
 
     # the buckets of one key are few, so a window per key over them is small
     per_key = Window.partitionBy(*keys)
-    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
     counts = counts.withColumn(
-        "_before", F.sum("_c").over(per_key.orderBy("_b")) - F.col("_c")
-    ).withColumn("_n", F.sum("_c").over(per_key))
+        "__before", F.sum("__c").over(per_key.orderBy("__b")) - F.col("__c")
+    ).withColumn("__n", F.sum("__c").over(per_key))
 
     ranks = []
     for p in probs.values():
-        pos = rank_position(F.col("_n"), p, kind)
+        pos = rank_position(F.col("__n"), p, kind)
         ranks += [F.floor(pos).cast("long"), F.ceil(pos).cast("long")]
     inside = F.filter(
         F.array_distinct(F.array(*ranks)),
-        lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_c")),
+        lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__c")),
     )
     targets = settle(
-        counts.select(*keys, "_b", "_before", "_n", inside.alias("_want")).where(F.size("_want") > 0)
+        counts.select(*keys, "__b", "__before", "__n", inside.alias("__want")).where(F.size("__want") > 0)
     )
 
     held = (
-        rows.join(targets, [*keys, "_b"])
-        .groupBy(*keys, "_b", "_before", "_n", "_want", "_v")
-        .agg(F.count("*").alias("_c"))
+        rows.join(targets, [*keys, "__b"])
+        .groupBy(*keys, "__b", "__before", "__n", "__want", "__v")
+        .agg(F.count("*").alias("__c"))
     )
-    below = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v")) - F.col("_c")
-    held = held.withColumn("_before", F.col("_before") + below)
+    below = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__v")) - F.col("__c")
+    held = held.withColumn("__before", F.col("__before") + below)
     hits = held.select(
         *keys,
-        "_n",
-        "_v",
+        "__n",
+        "__v",
         F.explode(
-            F.filter("_want", lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_c")))
-        ).alias("_r"),
+            F.filter("__want", lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__c")))
+        ).alias("__r"),
     )
     # at most two ranks per percentile and key
-    found = hits.groupBy(*keys, "_n").agg(
-        F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at")
+    found = hits.groupBy(*keys, "__n").agg(
+        F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__at")
     )
-    out = [*keys, F.col("_n").alias("n")]
+    out = [*keys, F.col("__n").alias("n")]
     for name, p in probs.items():
-        pos = rank_position(F.col("_n"), p, kind)
-        lo = F.element_at("_at", F.floor(pos).cast("long"))
-        hi = F.element_at("_at", F.ceil(pos).cast("long"))
+        pos = rank_position(F.col("__n"), p, kind)
+        lo = F.element_at("__at", F.floor(pos).cast("long"))
+        hi = F.element_at("__at", F.ceil(pos).cast("long"))
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return found.select(*out)
 
@@ -112,14 +112,14 @@ def group_ranks(
     Bucket prefix sums give the offset, a window per (key, bucket) the rest.
     """
     keys = list(keys)
-    rows = df.withColumn("_b", order_bucket(F.col(value), unit))
-    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_c")
-    offsets = settle(counts.select(*keys, "_b", before.alias("_before")))
-    fine = Window.partitionBy(*keys, "_b")
-    ties = F.count("*").over(Window.partitionBy(*keys, "_b", value))
+    rows = df.withColumn("__b", order_bucket(F.col(value), unit))
+    counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__c")
+    offsets = settle(counts.select(*keys, "__b", before.alias("__before")))
+    fine = Window.partitionBy(*keys, "__b")
+    ties = F.count("*").over(Window.partitionBy(*keys, "__b", value))
     return (
-        rows.join(offsets, [*keys, "_b"])
-        .withColumn(out, F.col("_before") + F.rank().over(fine.orderBy(value)) + (ties - 1) / 2.0)
-        .drop("_b", "_before")
+        rows.join(offsets, [*keys, "__b"])
+        .withColumn(out, F.col("__before") + F.rank().over(fine.orderBy(value)) + (ties - 1) / 2.0)
+        .drop("__b", "__before")
     )

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from glacierlens.plans import altimetry, balance, climate, ensemble, scenario, spatial, terrain  # noqa: F401
+from glacierlens.plans import (  # noqa: F401
+    altimetry,
+    balance,
+    climate,
+    ensemble,
+    scenario,
+    sources,
+    spatial,
+    tasks,
+    terrain,
+)
 from glacierlens.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
