@@ -1,12 +1,12 @@
 """Exact grouped order statistics that never gather a group in one task.
 
-Two passes over the rows.  Pass 1 counts rows per (key, value bucket), where
-the bucket is an order-preserving function of the value alone, so the counts
-combine map-side.  Prefix sums over the buckets of a key tell which buckets
-hold the wanted ranks.  Pass 2 keeps only rows of those buckets (about 1/256
-octave of the value range each), counts them per distinct value, and finds the
-rank inside the bucket.  A key with a third of all rows costs the same shuffle
-as any other key.
+Pass 1 counts rows per (key, value bucket), where the bucket is an
+order-preserving function of the value alone, so the counts combine map-side.
+Prefix sums over the buckets of a key tell which buckets hold the wanted
+ranks.  While such a bucket holds more than ``CANDIDATES`` rows, another pass
+splits it into 256 finer ones.  The last pass keeps only the rows of the final
+buckets, counts them per distinct value, and finds the rank inside the bucket.
+A key with a third of all rows costs the same shuffle as any other key.
 """
 
 from __future__ import annotations
@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 
 from glacierlens.session import settle
 
-PER_OCTAVE = 256
+# buckets per doubling of the value in the first pass; each further pass takes 256 times as many
+PER_OCTAVE = 8
+REFINE = 256
+MAX_PASSES = 5
+# rows of one bucket that one task may sort at the end
+CANDIDATES = 2_000_000
 
 
-def order_bucket(value: Column, unit: float = 1.0) -> Column:
+def order_bucket(value: Column, per_octave: int = PER_OCTAVE) -> Column:
     """Coarse integer that never decreases when ``value`` increases."""
-    octaves = F.log2(F.lit(1.0) + F.abs(value) / F.lit(float(unit)))
-    return (F.signum(value) * F.floor(octaves * PER_OCTAVE)).cast("long")
+    octaves = F.log2(F.lit(1.0) + F.abs(value))
+    return (F.signum(value) * F.floor(octaves * per_octave)).cast("long")
 
 
 def rank_position(n: Column, p: float | Column, kind: str) -> Column:
@@ -46,7 +51,6 @@ def group_quantiles(
     value: str,
     probs: Mapping[str, float | Column],
     kind: str = "linear",
-    unit: float = 1.0,
 ) -> DataFrame:
     """One row per key: ``n`` and one exact percentile column per entry of ``probs``.
 
@@ -55,11 +59,10 @@ def group_quantiles(
     keys = list(keys)
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.alias("__v"))
-    rows = rows.withColumn("__b", order_bucket(F.col("__v"), unit))
 
     # the buckets of one key are few, so a window per key over them is small
     per_key = Window.partitionBy(*keys)
-    counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
+    counts = rows.groupBy(*keys, order_bucket(F.col("__v")).alias("__b")).agg(F.count("*").alias("__c"))
     counts = counts.withColumn(
         "__before", F.sum("__c").over(per_key.orderBy("__b")) - F.col("__c")
     ).withColumn("__n", F.sum("__c").over(per_key))
@@ -68,16 +71,34 @@ def group_quantiles(
     for p in probs.values():
         pos = rank_position(F.col("__n"), p, kind)
         ranks += [F.floor(pos).cast("long"), F.ceil(pos).cast("long")]
-    inside = F.filter(
-        F.array_distinct(F.array(*ranks)),
-        lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__c")),
-    )
-    targets = settle(
-        counts.select(*keys, "__b", "__before", "__n", inside.alias("__want")).where(F.size("__want") > 0)
-    )
+
+    def holding(table, wanted):
+        inside = F.filter(wanted, lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__c")))
+        hit = table.select(*keys, "__b", "__before", "__n", "__c", inside.alias("__want"))
+        return settle(hit.where(F.size("__want") > 0))
+
+    targets = holding(counts, F.array_distinct(F.array(*ranks)))
+    per_octave = PER_OCTAVE
+    for _ in range(MAX_PASSES):
+        if (targets.agg(F.max("__c")).first()[0] or 0) <= CANDIDATES:
+            break
+        finer = order_bucket(F.col("__v"), per_octave * REFINE)
+        split = (
+            rows.withColumn("__b", order_bucket(F.col("__v"), per_octave))
+            .join(targets.drop("__c"), [*keys, "__b"])
+            .groupBy(*keys, "__b", "__before", "__n", "__want", finer.alias("__f"))
+            .agg(F.count("*").alias("__c"))
+        )
+        # at most 256 or so finer buckets per bucket
+        below = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__f")) - F.col("__c")
+        split = split.withColumn("__before", F.col("__before") + below)
+        targets = holding(split.drop("__b").withColumnRenamed("__f", "__b"), F.col("__want"))
+        per_octave *= REFINE
+    targets = targets.drop("__c")
 
     held = (
-        rows.join(targets, [*keys, "__b"])
+        rows.withColumn("__b", order_bucket(F.col("__v"), per_octave))
+        .join(targets, [*keys, "__b"])
         .groupBy(*keys, "__b", "__before", "__n", "__want", "__v")
         .agg(F.count("*").alias("__c"))
     )
@@ -105,14 +126,14 @@ def group_quantiles(
 
 
 def group_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, unit: float = 1.0
+    df: DataFrame, keys: Sequence[str], value: str, out: str, per_octave: int = 4096
 ) -> DataFrame:
     """Average-tie rank of ``value`` within ``keys`` (1..n), as column ``out``.
 
     Bucket prefix sums give the offset, a window per (key, bucket) the rest.
     """
     keys = list(keys)
-    rows = df.withColumn("__b", order_bucket(F.col(value), unit))
+    rows = df.withColumn("__b", order_bucket(F.col(value), per_octave))
     counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__c")
     offsets = settle(counts.select(*keys, "__b", before.alias("__before")))

@@ -63,7 +63,7 @@ def _(v):
 def _(v):
     path = scratch_path(v.spark, "regions")
     win = tw.annual_windows(v.spark, START, END, REF_DATE).where(F.col("win_kind") == "y1")
-    tags = alt.hierarchies(v.fp.where(alt.PHOTON.base())).where(F.col("hier").isin("r15", "tp"))
+    tags = alt.hierarchies(v.fp_spread.where(alt.PHOTON.base())).where(F.col("hier").isin("r15", "tp"))
     bands = alt.band_stats(tw.window_join(tags, win, REF_DATE), ["hier", "region_id", "win_id"], cut=120.0)
     sinks.write_by_region(rounded(bands), path)
     return v.spark.read.parquet(path)
@@ -73,10 +73,8 @@ def _(v):
 def _(v):
     path = scratch_path(v.spark, "cells")
     rows = v.fp.select("track", "obs_day", "lon", "lat", "dh")
-    # one file per cell here; appended in two portions
-    tidy = rows.repartition(F.floor("lat"), F.floor("lon"))
-    for part in (F.col("obs_day") < 1000, F.col("obs_day") >= 1000):
-        sinks.append_by_cell(tidy.where(part), path)
+    for part in (F.col("lat") < 36, F.col("lat") >= 36):
+        sinks.append_by_cell(rows.where(part), path)
     back = v.spark.read.parquet(path).groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n_rows"), F.sum("dh").alias("dh"))
     return rounded(back.join(sinks.saved_rows(rows), ["lat_cell", "lon_cell"]), 4)
 

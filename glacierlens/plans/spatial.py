@@ -226,7 +226,7 @@ t as (select lon, lat, max(id) as id from {inside('p.lon', 'p.lat', 'p', 'p.lon,
 @query("J01_tag_regions", _TAGS + f"""select fp.track, fp.obs_day, {R('fp.lon')} as lon, {R('fp.lat')} as lat, cast(coalesce(t.id, 0) as int) as r22
 from fp left join t on fp.lon = t.lon and fp.lat = t.lat""")
 def _(v):
-    pts = v.fp.select("track", "obs_day", "lon", "lat")
+    pts = v.fp_spread.select("track", "obs_day", "lon", "lat")
     return rounded(sp.tag_regions(pts, v.hpoly, ["r22"]))
 
 
@@ -238,7 +238,7 @@ _HOLES = f"""with p as (select distinct lon, lat from fp), t as (select distinct
 from fp left join t on fp.lon = t.lon and fp.lat = t.lat where t.lon is null""")
 def _(v):
     # every second rectangle, so that some points lie outside
-    pts = v.fp.select("track", "obs_day", "lon", "lat")
+    pts = v.fp_spread.select("track", "obs_day", "lon", "lat")
     return rounded(sp.outside_all(pts, v.hpoly.where(F.col("id") % 2 == 1)))
 
 
@@ -246,7 +246,7 @@ def _(v):
        + f"""select fp.track, fp.obs_day, {R('fp.lon')} as lon, {R('fp.lat')} as lat
 from fp join t on fp.lon = t.lon and fp.lat = t.lat""")
 def _(v):
-    pts = v.fp.select("track", "obs_day", "lon", "lat")
+    pts = v.fp_spread.select("track", "obs_day", "lon", "lat")
     return rounded(sp.within_boundary(pts, v.hpoly.where(F.col("id") == 7)))
 
 

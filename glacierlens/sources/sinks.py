@@ -13,21 +13,23 @@ def write_results(df: DataFrame, path: str, keys: Sequence[str], measures: Seque
     """value / count / uncertainty as one long table, one folder per measure."""
     casted = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in measures])
     long = casted.unpivot(list(keys), list(measures), "measure", "value")
-    # one task per measure and spread part, so that no single writer takes a measure alone
-    long.repartition("measure", *keys).write.mode(mode).partitionBy("measure").parquet(path)
+    # AQE splits a large measure over writers and merges small ones
+    long.hint("rebalance", F.col("measure")).write.mode(mode).partitionBy("measure").parquet(path)
 
 
 def write_by_region(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Band x year output, one unit per region."""
-    df.repartition("hier", "region_id").write.mode(mode).partitionBy("hier", "region_id").parquet(path)
+    """Band x year output, one unit per region; a large region gets several writers."""
+    df.hint("rebalance", F.col("hier"), F.col("region_id")).write.mode(mode).partitionBy("hier", "region_id").parquet(path)
 
 
 def append_by_cell(df: DataFrame, path: str, lon: str = "lon", lat: str = "lat", mode: str = "append") -> None:
     """Rows into the folder of their 1-degree cell.
 
-    Rows keep their partitioning, so a hot cell is written by many tasks.
+    The rebalance brings a cell's rows together, so there is no file per task
+    and cell, while AQE splits a hot cell over many writers.
     """
     cells = df.withColumn("lat_cell", F.floor(lat).cast("int")).withColumn("lon_cell", F.floor(lon).cast("int"))
+    cells = cells.hint("rebalance", F.col("lat_cell"), F.col("lon_cell"))
     cells.write.mode(mode).partitionBy("lat_cell", "lon_cell").parquet(path)
 
 
