@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glacierlens.session import settle
+from glacierlens.session import settle, settle_with_peak
 
 # buckets per doubling of the value in the first pass; each further pass takes 256 times as many
 PER_OCTAVE = 8
@@ -75,12 +75,12 @@ def group_quantiles(
     def holding(table, wanted):
         inside = F.filter(wanted, lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__c")))
         hit = table.select(*keys, "__b", "__before", "__n", "__c", inside.alias("__want"))
-        return settle(hit.where(F.size("__want") > 0))
+        return settle_with_peak(hit.where(F.size("__want") > 0), "__c")
 
-    targets = holding(counts, F.array_distinct(F.array(*ranks)))
+    targets, fullest = holding(counts, F.array_distinct(F.array(*ranks)))
     per_octave = PER_OCTAVE
     for _ in range(MAX_PASSES):
-        if (targets.agg(F.max("__c")).first()[0] or 0) <= CANDIDATES:
+        if fullest <= CANDIDATES:
             break
         finer = order_bucket(F.col("__v"), per_octave * REFINE)
         split = (
@@ -92,7 +92,7 @@ def group_quantiles(
         # at most 256 or so finer buckets per bucket
         below = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__f")) - F.col("__c")
         split = split.withColumn("__before", F.col("__before") + below)
-        targets = holding(split.drop("__b").withColumnRenamed("__f", "__b"), F.col("__want"))
+        targets, fullest = holding(split.drop("__b").withColumnRenamed("__f", "__b"), F.col("__want"))
         per_octave *= REFINE
     targets = targets.drop("__c")
 

@@ -32,6 +32,8 @@ class Physics:
 
 
 DEFAULT = Physics()
+# one bit per month of a full year
+ALL_MONTHS = (1 << 12) - 1
 
 
 def lapse(df: DataFrame, ph: Physics = DEFAULT) -> Column:
@@ -86,8 +88,8 @@ def glacier_climate(climate: DataFrame, params: DataFrame, bins: DataFrame, ph:
     return pts.groupBy("glacier_id", "yr").agg(
         (F.sum(w * F.col("melt")) / F.sum(w) * 12).alias("temp"),
         (F.sum(w * F.col("snow")) / F.sum(w) * 12).alias("prcp"),
-        F.count_distinct("mo").alias("_m"),
-    ).where(F.col("_m") == 12).drop("_m")
+        F.expr("bit_or(shiftleft(1, mo - 1))").alias("_m"),
+    ).where(F.col("_m") == ALL_MONTHS).drop("_m")
 
 
 def point_balance(points: DataFrame, annual: bool = False) -> DataFrame:

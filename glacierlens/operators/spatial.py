@@ -12,16 +12,20 @@ from glacierlens.session import shared_folder
 
 # a polygon index is broadcast up to this many edges (32 bytes each)
 BROADCAST_EDGES = 2_000_000
+# edges listed in one index row; a cell with more takes several rows
+ROW_EDGES = 50_000
+# grid points per cell when a nearest-point search starts
+GRID_OCCUPANCY = 32
 
 
 def polygon_index(polygons: DataFrame, size: float = 1.0) -> DataFrame:
-    """One row per grid cell with the polygons whose box touches it.
+    """Rows of a grid cell with the polygons whose box touches it.
 
     ``polygons``: hier, id, ring, vertex, x, y with closed rings.  Per polygon
     and cell only the edges are kept that a ray to the east from a point of the
     cell can meet (same latitude row, not wholly to the west), so the point
-    test costs the local edges.  The list of a cell is bounded by the outlines
-    that overlap one cell; a smaller ``size`` shortens it.
+    test costs the local edges.  A cell with many outlines is split into parts
+    of about ``ROW_EDGES`` edges, so no row grows with a crowded cell.
     """
     s = float(size)
     ring = Window.partitionBy("hier", "id", "ring").orderBy("vertex")
@@ -38,7 +42,9 @@ def polygon_index(polygons: DataFrame, size: float = 1.0) -> DataFrame:
     per_poly = placed.groupBy("_cx", "_cy", "hier", "id").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")
     )
-    return per_poly.groupBy("_cx", "_cy").agg(
+    size_before = F.sum(F.size("edges")).over(Window.partitionBy("_cx", "_cy").orderBy("hier", "id")) - F.size("edges")
+    parts = per_poly.withColumn("_part", F.floor(size_before / ROW_EDGES).cast("int"))
+    return parts.groupBy("_cx", "_cy", "_part").agg(
         F.collect_list(F.struct("hier", "id", "edges")).alias("_polys"), F.sum(F.size("edges")).alias("_n")
     )
 
@@ -67,26 +73,27 @@ def containing(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: st
     """Points with ``_in``, the array of (hier, id) of all polygons around them.
 
     A map-side lookup by cell when the polygon index is small enough to
-    broadcast; otherwise a join on the cell, whose hot cells AQE splits.
+    broadcast; otherwise a join on the cell, whose hot cells AQE splits.  Each
+    part of the index is looked up in turn and adds its hits.
     """
     s = float(size)
     shared_folder(points.sparkSession)
     index = polygon_index(polygons, size).checkpoint()
-    edges = index.agg(F.sum("_n")).first()[0] or 0
-    index = index.drop("_n")
-    if edges <= BROADCAST_EDGES:
-        index = F.broadcast(index)
+    edges, last = index.agg(F.sum("_n"), F.max("_part")).first()
     px, py = F.col(lon), F.col(lat)
-    joined = points.withColumn("_cx", F.floor(px / s)).withColumn("_cy", F.floor(py / s)).join(
-        index, ["_cx", "_cy"], "left"
-    )
+    kind = "array<struct<hier:string,id:bigint>>"
+    out = points.withColumn("_cx", F.floor(px / s)).withColumn("_cy", F.floor(py / s)).withColumn("_in", F.array().cast(kind))
     hits = F.transform(
         F.filter("_polys", lambda p: _inside(p["edges"], px, py)), lambda p: F.struct(p["hier"].alias("hier"), p["id"].alias("id"))
-    )
-    empty = F.array().cast("array<struct<hier:string,id:bigint>>")
-    return joined.withColumn("_in", F.coalesce(hits.cast("array<struct<hier:string,id:bigint>>"), empty)).drop(
-        "_polys", "_cx", "_cy"
-    )
+    ).cast(kind)
+    for part in range((last or 0) + 1):
+        side = index.where(F.col("_part") == part).drop("_n", "_part")
+        if (edges or 0) <= BROADCAST_EDGES:
+            side = F.broadcast(side)
+        out = out.join(side, ["_cx", "_cy"], "left").withColumn(
+            "_in", F.concat("_in", F.coalesce(hits, F.array().cast(kind)))
+        ).drop("_polys")
+    return out.drop("_cx", "_cy")
 
 
 def tag_regions(points: DataFrame, polygons: DataFrame, hiers: Sequence[str], **kw) -> DataFrame:
@@ -216,29 +223,44 @@ def nearest_grid_point(targets: DataFrame, grid: DataFrame, key: str, lon: str =
                        cell: float = 1.0) -> DataFrame:
     """Grid point with the least squared degree distance, first index on ties.
 
+    Grid points at one place count once, with their first index.  The first
+    cell size is halved until no cell holds more than ``GRID_OCCUPANCY`` points.
     Each target looks into the 3 x 3 cells around it.  A hit closer than one
     cell is final; the other targets repeat with cells twice as large, until
-    the 3 x 3 block covers the globe.  No pair outside the blocks is formed.
+    the 3 x 3 block covers the globe.
     """
     shared_folder(targets.sparkSession)
     pending = targets.select(key, F.col(lon).alias("_tx"), F.col(lat).alias("_ty"))
-    g = grid.select("idx", F.col("lon").alias("grid_lon"), F.col("lat").alias("grid_lat"))
-    found, size = None, float(cell)
+    g = grid.groupBy(F.col("lon").alias("grid_lon"), F.col("lat").alias("grid_lat")).agg(F.min("idx").alias("idx")).checkpoint()
+
+    def celled(size):
+        return g.withColumn("_cx", F.floor(F.col("grid_lon") / size)).withColumn("_cy", F.floor(F.col("grid_lat") / size))
+
+    size = float(cell)
+    while size > 1e-6:
+        fullest = celled(size).groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] or 0
+        if fullest <= GRID_OCCUPANCY:
+            break
+        size /= 2
+    found = None
     while True:
         three = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        around = pending.withColumn("_cx", F.explode(F.transform(three, lambda o: F.floor(F.col("_tx") / size) + o))
-                                    ).withColumn("_cy", F.explode(F.transform(three, lambda o: F.floor(F.col("_ty") / size) + o)))
-        celled = g.withColumn("_cx", F.floor(F.col("grid_lon") / size)).withColumn("_cy", F.floor(F.col("grid_lat") / size))
+        cx, cy = F.floor(F.col("_tx") / size), F.floor(F.col("_ty") / size)
+        around = pending.withColumn("_cx", cx).withColumn("_cy", cy)
+        around = around.withColumn("_dx", F.explode(three)).withColumn("_dy", F.explode(three)).select(
+            key, "_tx", "_ty", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy")
+        )
         d2 = F.pow(F.col("_tx") - F.col("grid_lon"), 2) + F.pow(F.col("_ty") - F.col("grid_lat"), 2)
-        best = around.join(celled, ["_cx", "_cy"]).groupBy(key, "_tx", "_ty").agg(
+        best = around.join(celled(size), ["_cx", "_cy"]).groupBy(key, "_tx", "_ty").agg(
             F.min(F.struct(d2.alias("d2"), "idx", "grid_lon", "grid_lat")).alias("_b")
         )
         last = size >= 360
-        final = best if last else best.where(F.col("_b.d2") < size * size)
-        final = final.checkpoint()
+        final = (best if last else best.where(F.col("_b.d2") < size * size)).checkpoint()
         found = final if found is None else found.unionByName(final)
+        if last:
+            break
         pending = pending.join(final, key, "left_anti").checkpoint()
-        if last or pending.isEmpty():
+        if pending.isEmpty():
             break
         size *= 2
     return found.select(

@@ -40,9 +40,16 @@ def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     The checkpoint cuts the lineage (the table feeds a second pass over the
     rows it was derived from) and its row count is the size check.
     """
+    return settle_with_peak(df, None, max_rows)[0]
+
+
+def settle_with_peak(df: DataFrame, column: str | None, max_rows: int = BROADCAST_ROWS):
+    """:func:`settle`, and the largest value of a column (0 if empty)."""
     shared_folder(df.sparkSession)
     done = df.checkpoint()
-    return F.broadcast(done) if done.count() <= max_rows else done
+    peak = F.max(column) if column else F.lit(0)
+    n, top = done.agg(F.count("*"), peak).first()
+    return (F.broadcast(done) if n <= max_rows else done), top or 0
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
