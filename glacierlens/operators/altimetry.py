@@ -219,26 +219,29 @@ def qc_counts(df: DataFrame, max_abs: float = 200.0) -> DataFrame:
 
 def qc_report(df: DataFrame, max_abs: float = 200.0) -> DataFrame:
     """Key/value report: retained rows and share, dh range, months, ranges."""
-    kept = qc_height_change(df, max_abs)
-    bounds = percentile_bounds(kept, [], 1.0).select("low", "high")
-    total = df.agg(F.count("*").cast("double").alias("n_total"))
-    facts = kept.agg(
-        F.count("*").cast("double").alias("n_kept"),
-        F.min("lon").alias("lon_min"),
-        F.max("lon").alias("lon_max"),
-        F.min("lat").alias("lat_min"),
-        F.max("lat").alias("lat_max"),
-        F.min("elev_ref").alias("elev_min"),
-        F.max("elev_ref").alias("elev_max"),
+    ok = F.abs("dh") <= max_abs
+
+    def of_kept(fn, col):
+        return fn(F.when(ok, F.col(col)))
+
+    kept = F.count_if(ok).cast("double")
+    facts = df.agg(
+        F.count("*").cast("double").alias("n_total"),
+        kept.alias("n_kept"),
+        (100.0 * kept / F.greatest(F.count("*"), F.lit(1))).alias("kept_percent"),
+        *[
+            of_kept(fn, col).alias(f"{name}_{end}")
+            for col, name in (("lon", "lon"), ("lat", "lat"), ("elev_ref", "elev"))
+            for end, fn in (("min", F.min), ("max", F.max))
+        ],
     )
+    rows = qc_height_change(df, max_abs)
+    bounds = percentile_bounds(rows, [], 1.0).select(F.col("low").alias("dh_p01"), F.col("high").alias("dh_p99"))
     months = (
-        kept.select((F.year("obs_date") * 12 + F.month("obs_date")).alias("m")).distinct()
+        rows.select((F.year("obs_date") * 12 + F.month("obs_date")).alias("m")).distinct()
         .agg(F.count("*").cast("double").alias("valid_months"))
     )
-    # four one-row tables side by side
-    row = facts.join(total).join(months).join(bounds).select(
-        "n_total", "n_kept", (100.0 * F.col("n_kept") / F.col("n_total")).alias("kept_percent"),
-        "valid_months", F.col("low").alias("dh_p01"), F.col("high").alias("dh_p99"),
-        "lon_min", "lon_max", "lat_min", "lat_max", "elev_min", "elev_max",
-    )
-    return row.unpivot([], row.columns, "item", "value")
+    out = facts.unpivot([], facts.columns, "item", "value")
+    for part in (bounds, months):
+        out = out.unionByName(part.unpivot([], part.columns, "item", "value"))
+    return out

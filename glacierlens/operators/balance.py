@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glacierlens.functions.scalars import SECONDS_IN_MONTH, SECONDS_IN_YEAR
+from glacierlens.session import sized_broadcast
 
 
 @dataclass(frozen=True)
@@ -227,7 +228,7 @@ def random_years(spark: SparkSession, start: int, n: int, years: Sequence[int],
 
 def random_climate_balance(balance: DataFrame, year_map: DataFrame) -> DataFrame:
     """Annual balance of each simulated year; the year map is a calendar."""
-    return balance.join(F.broadcast(year_map), "yr").select("glacier_id", "sim_year", "yr", "mb")
+    return balance.join(sized_broadcast(year_map), "yr").select("glacier_id", "sim_year", "yr", "mb")
 
 
 def perturbed_balance(climate: DataFrame, params: DataFrame, bins: DataFrame, seed: int, temp_sigma: float = 0.1,

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glacierlens.functions.quantiles import group_quantiles
-from glacierlens.session import sized_broadcast
 
 # fixed values: score weights, tightest threshold first
 TEMP_WEIGHTS = ((99, 4.0), (95, 2.0), (90, 1.0))
@@ -166,10 +165,8 @@ def period_share(top: DataFrame, start: int, length: int = 5) -> DataFrame:
     """Share of the selected glacier-years falling into each period of years."""
     period = (F.floor((F.col("yr") - start) / length) * length + start).cast("int")
     counts = top.groupBy(period.alias("period_start")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(sized_broadcast(total, 1)).select(
-        "period_start", "n", (F.col("n") / F.col("_t")).alias("share")
-    )
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("period_start", "n", (F.col("n") / total).alias("share"))
 
 
 def winter_daily_prcp(df: DataFrame, y0: int, y1: int, southern: bool = False) -> DataFrame:

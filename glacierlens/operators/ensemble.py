@@ -193,11 +193,8 @@ def drop_last_levels(levels: DataFrame, x: str, n: int) -> DataFrame:
     if n <= 0:
         return levels
     top = settle(levels.select(x).orderBy(F.desc(x)).limit(n))
-    rest = levels.join(top, x, "left_anti")
-    total = F.broadcast(levels.agg(F.count("*").alias("_k")))
-    return levels.join(total).where(F.col("_k") <= n).drop("_k").unionByName(
-        rest.join(total).where(F.col("_k") > n).drop("_k")
-    )
+    total = levels.agg(F.count("*")).scalar()
+    return levels.where(total <= n).unionByName(levels.where(total > n).join(top, x, "left_anti"))
 
 
 def regional_mass_balance(df: DataFrame, keys: Sequence[str], value: str = "dmdtda") -> DataFrame:
@@ -277,10 +274,8 @@ def regional_residual(model: DataFrame, ref: DataFrame) -> DataFrame:
 
 def apply_bias_shift(params: DataFrame, residual: DataFrame) -> DataFrame:
     """bias - residual for every glacier, the old value kept; ``residual`` is one row."""
-    one = F.broadcast(residual.select("residual").limit(1))
-    return params.withColumnRenamed("bias", "bias_before").join(one).withColumn(
-        "bias", F.col("bias_before") - F.col("residual")
-    ).drop("residual")
+    shift = residual.agg(F.first("residual")).scalar()
+    return params.withColumnRenamed("bias", "bias_before").withColumn("bias", F.col("bias_before") - shift)
 
 
 # ---- assembly of run tables
@@ -291,17 +286,15 @@ def assemble_axis(df: DataFrame, key: str, axis: str, values: Sequence[str]) ->
     The axis is a calendar, so it is exploded from one short array per id
     instead of a cross join.
     """
-    steps = F.broadcast(df.select(axis).distinct().agg(F.sort_array(F.collect_set(axis)).alias("_ax")))
-    full = df.select(key).distinct().join(steps).select(key, F.explode("_ax").alias(axis))
+    steps = df.select(axis).distinct().agg(F.sort_array(F.collect_set(axis))).scalar()
+    full = df.select(key).distinct().select(key, steps.alias("_ax")).select(key, F.explode("_ax").alias(axis))
     return full.join(df.select(key, axis, *values), [key, axis], "left")
 
 
 def assemble_climate(series: DataFrame, glaciers: DataFrame, values: Sequence[str] = ("temp", "prcp")) -> DataFrame:
     """All glaciers' monthly series on one axis with pixel attributes; no data stays NULL."""
-    axis = F.broadcast(
-        series.select("yr", "mo").distinct().agg(F.sort_array(F.collect_set(F.struct("yr", "mo"))).alias("_ax"))
-    )
-    full = glaciers.join(axis).select(*glaciers.columns, F.explode("_ax").alias("_t")).select(
+    axis = series.select("yr", "mo").distinct().agg(F.sort_array(F.collect_set(F.struct("yr", "mo")))).scalar()
+    full = glaciers.select("*", axis.alias("_ax")).select(*glaciers.columns, F.explode("_ax").alias("_t")).select(
         *glaciers.columns, "_t.yr", "_t.mo"
     )
     return full.join(series.select("glacier_id", "yr", "mo", *values), ["glacier_id", "yr", "mo"], "left")

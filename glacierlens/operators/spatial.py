@@ -170,15 +170,13 @@ def focal_table(pixel: DataFrame, k: int) -> DataFrame:
     ).select(
         "r", "c", F.sum("_s").over(along).alias("_s"), F.sum("_n").over(along).alias("_n")
     )
-    box = pixel.agg(F.min("r").alias("_r0"), F.max("r").alias("_r1"), F.min("c").alias("_c0"), F.max("c").alias("_c1"))
-    whole = (
-        (F.col("r") - h >= F.col("_r0")) & (F.col("r") + h <= F.col("_r1"))
-        & (F.col("c") - h >= F.col("_c0")) & (F.col("c") + h <= F.col("_c1"))
-    )
-    # one row of grid limits
-    return sums.join(F.broadcast(box)).where(whole & (F.col("_n") > 0)).select(
-        "r", "c", (F.col("_s") / F.col("_n")).alias("focal")
-    )
+    # the grid limits, one value of a scalar subquery
+    box = pixel.agg(
+        F.struct(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    ).scalar()
+    r, c = F.col("r"), F.col("c")
+    whole = (r - h >= box["r0"]) & (r + h <= box["r1"]) & (c - h >= box["c0"]) & (c + h <= box["c1"])
+    return sums.where(whole & (F.col("_n") > 0)).select("r", "c", (F.col("_s") / F.col("_n")).alias("focal"))
 
 
 def focal_mean(points: DataFrame, pixel: DataFrame, affine: Affine, k: int) -> DataFrame:
@@ -297,10 +295,9 @@ def join_reference(model: DataFrame, ref: DataFrame, key: str = "rgi_id", fallba
     matches any modelled glacier.
     """
     joined = model.join(ref, key)
-    measured = joined.agg(F.count_if(~F.col("is_cor")).alias("_m"))
-    flagged = joined.join(F.broadcast(measured))
     keep = ~F.col("is_cor")
     if fallback:
-        keep = keep | (F.col("_m") == 0)
-    return flagged.where(keep).drop("_m")
+        measured = joined.agg(F.count_if(~F.col("is_cor"))).scalar()
+        keep = keep | (measured == 0)
+    return joined.where(keep)
 

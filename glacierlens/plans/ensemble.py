@@ -188,12 +188,12 @@ select g as x, {R('(select ' + _QVAL + ' from u)', 4)} as upper, {R('(select ' +
 from g""")
 def _(v):
     levels = settle(en.binned_response(_response(v)))
-    top = levels.agg(F.max("score").alias("_top"))
+    top = levels.agg(F.max("score")).scalar()
     use = en.drop_last_levels(levels, "score", 2)
     out = None
     for name, y in (("upper", F.col("mean") + 1.5 * F.col("sd")), ("lower", F.col("mean") - 1.5 * F.col("sd")), ("mean", F.col("mean"))):
-        fit = reg.poly_fit(use.select("score", y.alias("_y")), [], "score", "_y", 2).join(F.broadcast(top))
-        line = reg.poly_grid(fit, [], 2, F.col("_top") + 1.0).withColumnRenamed("y", name)
+        fit = reg.poly_fit(use.select("score", y.alias("_y")), [], "score", "_y", 2)
+        line = reg.poly_grid(fit, [], 2, top + 1.0).withColumnRenamed("y", name)
         out = line if out is None else out.join(line, "x")
     return rounded(out, 4)
 
