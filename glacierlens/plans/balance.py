@@ -192,7 +192,8 @@ def _(v):
 
 
 _NORM = f"""with {_ela_sql('', _MS + ' where yr between 1996 and 2000', 5)},
-m as (select glacier_id, bin_id, height, width, sum(snow) / 5e0 - any_value(mu) * sum(melt) / 5e0 - any_value(bias) as mb from pt where yr between 1996 and 2000 group by 1, 2, 3, 4),
+mm as (select glacier_id, bin_id, height, width, mo, any_value(mu) as mu, any_value(bias) as bias, avg(snow) as snow, avg(melt) as melt from pt where yr between 1996 and 2000 group by 1, 2, 3, 4, 5),
+m as (select glacier_id, bin_id, height, width, sum(snow) - any_value(mu) * sum(melt) - any_value(bias) as mb from mm group by 1, 2, 3, 4),
 h as (select m.glacier_id, sum(case when mb >= 0 then width else 0 end) / sum(width) as aar, regr_slope(mb, height) filter (where mb < 0) as mb_grad,
   sum(width * height) / sum(width) as mean_elev, max(height) as max_elev, min(height) as min_elev, any_value(case when bad = 0 then ela end) as ela
   from m left join ela on m.glacier_id = ela.glacier_id group by 1),

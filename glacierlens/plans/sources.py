@@ -104,7 +104,8 @@ def _(v):
     polys = v.hpoly.where(F.col("id") % 2 == 1)
     ingest.stream_footprints(v.spark, src, schema, polys, out, chk, min_rows=1400).awaitTermination()
     return rounded(
-        v.spark.read.parquet(out).groupBy("lat_cell", "lon_cell").agg(F.count("*").alias("n"), F.sum("dh").alias("dh")), 4
+        ingest.read_off_ice(v.spark, out, schema).groupBy("lat_cell", "lon_cell")
+        .agg(F.count("*").alias("n"), F.sum("dh").alias("dh")), 4
     )
 
 

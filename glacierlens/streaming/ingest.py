@@ -40,6 +40,12 @@ def stream_footprints(spark: SparkSession, source: str, schema: T.StructType, po
     )
 
 
+def read_off_ice(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The rows saved so far with their cell; none if every granule was small."""
+    cells = [T.StructField(c, T.IntegerType()) for c in ("batch", "lat_cell", "lon_cell")]
+    return spark.read.schema(T.StructType([*schema.fields, *cells])).parquet(out)
+
+
 DAILY = T.StructType([
     T.StructField("ts", T.TimestampType()),
     T.StructField("glacier_id", T.LongType()),

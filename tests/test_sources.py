@@ -66,14 +66,16 @@ def test_stream_of_granules(spark, tmp_path):
         pdf = pd.DataFrame({"lon": [70.5, 72.5] * (n // 2), "lat": 30.5, "dh": 1.0})
         spark.createDataFrame(pdf).coalesce(1).write.parquet(f"{src}/{name}")
 
-    granule("big", 200)
     granule("small", 100)
-    schema = spark.read.parquet(f"{src}/big").schema
+    schema = spark.read.parquet(f"{src}/small").schema
+    ingest.stream_footprints(spark, src, schema, _poly(spark), out, chk).awaitTermination()
+    assert ingest.read_off_ice(spark, out, schema).count() == 0
+    granule("big", 200)
     for _ in range(2):
         ingest.stream_footprints(spark, src, schema, _poly(spark), out, chk).awaitTermination()
     granule("late", 300)
     ingest.stream_footprints(spark, src, schema, _poly(spark), out, chk).awaitTermination()
-    got = spark.read.parquet(out).groupBy("lat_cell", "lon_cell").count().collect()
+    got = ingest.read_off_ice(spark, out, schema).groupBy("lat_cell", "lon_cell").count().collect()
     assert [tuple(r) for r in got] == [(30, 72, 100 + 150)]
 
 
