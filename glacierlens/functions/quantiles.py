@@ -130,17 +130,18 @@ def group_ranks(
 ) -> DataFrame:
     """Average-tie rank of ``value`` within ``keys`` (1..n), as column ``out``.
 
-    Bucket prefix sums give the offset, a window per (key, bucket) the rest.
+    Bucket prefix sums give the offset and a window per (key, bucket) over the
+    distinct values the rest, so neither a hot key nor one value shared by many
+    rows is sorted in one task.  The ranks are joined back by value.
     """
     keys = list(keys)
     rows = df.withColumn("__b", order_bucket(F.col(value), per_octave))
-    counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
-    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__c")
+    values = rows.groupBy(*keys, "__b", value).agg(F.count("*").alias("__c"))
+    counts = values.groupBy(*keys, "__b").agg(F.sum("__c").alias("__k"))
+    before = F.sum("__k").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__k")
     offsets = settle(counts.select(*keys, "__b", before.alias("__before")))
-    fine = Window.partitionBy(*keys, "__b")
-    ties = F.count("*").over(Window.partitionBy(*keys, "__b", value))
-    return (
-        rows.join(offsets, [*keys, "__b"])
-        .withColumn(out, F.col("__before") + F.rank().over(fine.orderBy(value)) + (ties - 1) / 2.0)
-        .drop("__b", "__before")
+    below = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy(value)) - F.col("__c")
+    ranks = values.join(offsets, [*keys, "__b"]).select(
+        *keys, "__b", value, (F.col("__before") + below + (F.col("__c") + 1) / 2.0).alias(out)
     )
+    return rows.join(ranks, [*keys, "__b", value]).drop("__b")
