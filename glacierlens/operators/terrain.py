@@ -94,6 +94,8 @@ def elevation_bins(pixels: DataFrame, dx: float, size: float = 30.0, variables:
     rows = pixels.join(sizes, "glacier_id").withColumn("_s", clipped).withColumn(
         "_b", F.floor(F.col("value") / F.col("_step")).cast("long")
     )
+    # five passes follow, so the slopes (two window shuffles) are written once
+    rows = rows.select("glacier_id", "_b", "_step", "_s", "value", *variables).checkpoint()
     keys = ["glacier_id", "_b"]
     q = group_quantiles(rows, keys, "_s", {"_q05": 0.05, "_q20": 0.2, "_q80": 0.8}).drop("n")
     share = F.least(F.greatest(2 * F.col("_q20") / F.col("_q80"), F.lit(0.55)), F.lit(0.95))
