@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.llm import langid, packing, secret_scan
+from glacierlens.llm import langid, neardup, packing, secret_scan
 from glacierlens.llm.tables import fresh, table
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of the documents."""
+    return neardup.link(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of at most 2048 tokens."""
     pieces = packing.pieces(table(spark, sf_dir, "documents"))
