@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.llm import langid, neardup, packing, secret_scan
+from glacierlens.llm import langid, neardup, packing, quality, secret_scan
 from glacierlens.llm.tables import fresh, table
 
 
@@ -14,6 +14,16 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"))
 
 
+def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and distribution divergence of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = quality.judge(docs, quality.references(docs))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
+    )
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of at most 2048 tokens."""
     pieces = packing.pieces(table(spark, sf_dir, "documents"))

@@ -57,6 +57,10 @@ def _power(base: int, n: int) -> np.ndarray:
     return _kept[base][:n]
 
 
+def is_space(raw: np.ndarray) -> np.ndarray:
+    return _SPACE[raw]
+
+
 def bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word."""
     space = np.ones(len(data) + 2, bool)
