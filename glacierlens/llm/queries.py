@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.llm import langid, neardup, packing, quality, secret_scan
+from glacierlens.llm import langid, mixing, neardup, packing, quality, secret_scan
 from glacierlens.llm.tables import fresh, table
 
 
@@ -24,13 +24,49 @@ def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in sequences of at most 2048 tokens."""
-    pieces = packing.pieces(table(spark, sf_dir, "documents"))
+# target weights: domains are halves of the sources by number; languages within a domain
+# by this table and 1 for any other; sources of a language all alike
+DOMAIN_WEIGHTS = {"web": 0.6, "books": 0.4}
+LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
+MIX_TOTAL = 0.8
+
+
+def _domain(source):
+    number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]+)$", 1).try_cast("long")
+    return F.when(F.coalesce(number, F.lit(0)) % 20 < 10, "web").otherwise("books")
+
+
+def _weight(path: tuple) -> float:
+    if len(path) == 1:
+        return DOMAIN_WEIGHTS.get(path[0], 0.0)
+    return LANGUAGE_WEIGHTS.get(path[1], 1.0) if len(path) == 2 else 1.0
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents mixed to the target weights, with ``epoch`` and the token count."""
+    domain = fresh(docs, "domain")
+    tree = docs.withColumn(domain, _domain(F.col("source")))
+    return mixing.mix(tree, [domain, "lang", "source"], MIX_TOTAL, _weight)
+
+
+def op10_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in each epoch of the mix."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs).select("doc_id", "epoch", "domain", "lang", "source", "n_tokens")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of documents with their place in a training sequence."""
+    pieces = packing.pieces(docs)
     placed = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sequences of at most 2048 tokens."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", secret_scan.secret_spans("text").alias("found"))
