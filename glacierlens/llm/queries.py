@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.llm import langid, mixing, neardup, packing, quality, secret_scan
+from glacierlens.llm import langid, mixing, neardup, packing, quality, recompress, secret_scan
 from glacierlens.llm.tables import fresh, table
 
 
@@ -14,6 +14,12 @@ def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat a window of a smaller document."""
+    found = recompress.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and distribution divergence of every document."""
     docs = table(spark, sf_dir, "documents")
