@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.llm import langid, mixing, neardup, packing, quality, recompress, secret_scan
+from glacierlens.llm import ann, langid, mixing, neardup, packing, quality, recompress, secret_scan
 from glacierlens.llm.tables import fresh, table
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every query vector (id divisible by 20) by inner product."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
     return neardup.link(table(spark, sf_dir, "documents"))
