@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glacierlens.llm.tables import fresh, written
 from glacierlens.llm.tokens import default_encoder
@@ -27,7 +28,7 @@ EPOCHS = 2
 SLOTS = 4096
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def token_count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Column function: tokens of a whole text; null counts as empty."""
     encoder = default_encoder()

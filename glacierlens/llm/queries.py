@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.llm import ann, langid, mixing, neardup, packing, quality, recompress, secret_scan
+from glacierlens.llm import ann, chat, edit_counts, langid, mixing, neardup, packing, quality, recompress, secret_scan
 from glacierlens.llm.tables import fresh, table
 
 
@@ -15,6 +15,11 @@ def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side."""
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
     return neardup.link(table(spark, sf_dir, "documents"))
@@ -36,6 +41,11 @@ def op5_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after personal data is replaced."""
+    return edit_counts.count_edited(table(spark, sf_dir, "documents"), edit_counts.redactions("text"))
+
+
 # target weights: domains are halves of the sources by number; languages within a domain
 # by this table and 1 for any other; sources of a language all alike
 DOMAIN_WEIGHTS = {"web": 0.6, "books": 0.4}
@@ -110,4 +120,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_perspective_rotation": chat.SQL}
