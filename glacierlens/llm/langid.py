@@ -8,6 +8,7 @@ language is predicted.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,10 +22,11 @@ from pyspark.sql import types as T
 # n-grams of a profile; n-grams of a language beyond it have the largest distance
 PROFILE_SIZE = 400
 UNKNOWN = "und"
-# code points of a text that are counted at a time
+# code points of a text that are counted at a time, and up to the end of a word
 CHUNK = 1 << 20
 
 _SPACE = 0x20
+_NO_LETTER = re.compile(r"[\W\d_]")
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
@@ -82,7 +84,14 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def text_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """N-grams of a whole text and how often each occurs."""
-    return _merge([_count(_grams(_symbols(text[at : at + CHUNK]))) for at in range(0, max(1, len(text)), CHUNK)])
+    parts, at = [], 0
+    while at < len(text) or not parts:
+        # a chunk ends before a character that is no letter, so no n-gram spans two
+        end = _NO_LETTER.search(text, at + CHUNK)
+        end = end.start() if end else len(text)
+        parts.append(_count(_grams(_symbols(text[at:end]))))
+        at = end
+    return _merge(parts)
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:

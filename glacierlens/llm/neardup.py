@@ -5,10 +5,10 @@ shingle fell into borrows the value of a bin found by hashing its number again
 and again, the same way for every document (optimal densification).  Bands of
 bins make the bucket keys.
 
-A bucket's candidate edges form a star: each member against one hub.  Links are
+A bucket's candidate edges form stars: each member against a few hubs.  Links are
 confirmed on full shingle sets.  The next round looks only at buckets whose
-members are still in different components, with new hubs, until a round joins
-nothing.  Documents with equal sets are one node from the start.
+members are still in different components, with three times as many hubs.  Rounds
+end when all pairs are tested, or two in a row have joined nothing.  Documents with equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LEAST = 75
 BINS = 256
 ROWS = 5
 BANDS = BINS // ROWS
+# hubs of a bucket in the first round; each further round has three times as many
+STARS = 3
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -166,6 +168,32 @@ def _confirm(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
+def _hubs(placed: DataFrame, stars: int) -> DataFrame:
+    """Up to ``stars`` hubs of each bucket with more than one component.
+
+    One for each cell of a hash: mostly the same ones in all buckets of a group.
+    """
+    order = F.xxhash64("node", F.lit(stars))
+    cells = placed.groupBy("key", F.pmod(order, F.lit(stars)).alias("cell")).agg(
+        F.min(F.struct(order.alias("order"), "node", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    )
+    cells = written(cells, "cells")
+    apart = cells.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
+    return cells.join(apart, "key").select("key", "hub")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links between nodes."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+    merged = components(ends).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    known = labels.select("node", F.col("comp").alias("old"))
+    loose = merged.join(known.select("old"), "old", "left_anti").select(F.col("old").alias("node"), "old")
+    both = known.union(loose).join(merged, "old", "left")
+    return written(both.select("node", F.coalesce("new", "old").alias("comp")), "labels")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """Near-duplicate components of documents ``doc_id, text``.
 
@@ -187,42 +215,32 @@ def link(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").select("node", "text", "set_a", "set_b")
     sets = written(_sets(texts).dropDuplicates(["node"]), "sets")
 
-    labels, tested, turn = None, None, 0
-    while True:
+    labels, tested, stars, idle = None, None, STARS, 0
+    while idle < 2:
         if labels is None:
             placed = members.withColumn("comp", F.col("node"))
         else:
             placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            placed = written(placed, "placed")
-        order = F.xxhash64("node", F.lit(turn))
-        hubs = placed.groupBy("key").agg(
-            F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("h"),
-            F.min("comp").alias("low"), F.max("comp").alias("high"),
-        )
-        hubs = written(hubs.where("low <> high").select("key", "h.*"), "hubs")
-        alike = (F.col("hub_comp") != F.col("comp")) & (100 * F.least("n", "hub_n") >= LEAST * F.greatest("n", "hub_n"))
-        star = placed.join(hubs, "key").where(alike)
-        pairs = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        hubs = written(_hubs(placed, stars), "hubs")
+        # buckets whose members are still apart; the others are done
+        star = placed.join(hubs, "key")
+        members = written(star.select("key", "node", "n").distinct(), "members")
+        alike = (F.col("hub.comp") != F.col("comp")) & (100 * F.least("n", "hub.n") >= LEAST * F.greatest("n", "hub.n"))
+        pairs = star.where(alike).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            break
         tested = pairs if tested is None else tested.union(pairs)
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         links = written(_confirm(both), "links")
-        if links.isEmpty():
-            break
-        if labels is None:
-            labels = components(links)
-        else:
-            old = labels.withColumnRenamed("comp", "c")
-            ends = links.join(old.withColumnRenamed("node", "a"), "a", "left").withColumn("a", F.coalesce("c", "a")).drop("c")
-            ends = ends.join(old.withColumnRenamed("node", "b"), "b", "left").withColumn("b", F.coalesce("c", "b")).drop("c")
-            merged = components(ends.select("a", "b")).select(F.col("node").alias("old"), F.col("comp").alias("new"))
-            known = labels.select("node", F.col("comp").alias("old"))
-            loose = merged.join(known.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), "old")
-            labels = written(known.union(loose).join(merged, "old", "left").select("node", F.coalesce("new", "old").alias("comp")), "labels")
-        turn += 1
+        idle += 1
+        if not links.isEmpty():
+            labels = components(links) if labels is None else _joined(labels, links)
+            idle = 0
+        stars *= 3
 
     heads = nodes.select("node", *same)
     if labels is not None:

@@ -1,0 +1,183 @@
+"""Operators that judge each text: quality rules, secrets, language, token counts."""
+
+import random
+import zlib
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from glacierlens.llm import edit_counts, langid, quality, queries, secret_scan, tokens
+from tests.llm import brute
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.vocabulary_path(tokens.JSON_FILE))
+
+
+PARTS = st.sampled_from(["a", " ", "  ", "\n", "the ", "Ünder", "!", "'s", "\t", "<|endoftext|>", "99", "　", "漢字", "🙂", "ა", "\x1c", "\u0085", "-- "])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PARTS, max_size=25).map("".join) | st.text(max_size=40))
+def test_ids_are_those_of_the_tokenizer(tokenizer, text):
+    assert tokens.default_encoder().ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_runs(tokenizer):
+    for text in (" " * 9000, "x" * 60_000, "\n" * 5000 + "a", "ab " * 20_000):
+        assert tokens.default_encoder().ids(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_edits_keep_the_tree_right():
+    encoder, rnd = tokens.default_encoder(), random.Random(5)
+    parts = ["a", " ", "  ", "\n", "b1", "the ", "ü", "!", "'s", " x", "\t", "<|endoftext|>", "9 "]
+    for _ in range(1500):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60)))
+        size = rnd.choice([1, 3, 8, 20])
+        tree = edit_counts.build(text, encoder, size)
+        for _ in range(2):
+            edits = []
+            for _ in range(rnd.randint(0, 4)):
+                a = rnd.randint(0, len(text))
+                edits.append((a, a + rnd.randint(0, 6), "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 3)))))
+            want, at = "", 0
+            for start, end, new in edit_counts.in_order(edits, len(text)):
+                want, at = want + text[at:start] + new, end
+            want += text[at:]
+            text, tree, _ = edit_counts.update(text, tree, edits, encoder, size)
+            assert text == want
+            assert tree.total == encoder.count(want)
+            assert sum(tree.chars) == len(want)
+
+
+def test_edits_touch_little():
+    encoder = tokens.default_encoder()
+    text = "some words that go on and on " * 2000
+    tree = edit_counts.build(text, encoder)
+    new, after, again = edit_counts.update(text, tree, [(30_000, 30_004, "other")], encoder)
+    assert again < 4 * edit_counts.LEAF_CHARS and after.total == encoder.count(new)
+
+
+def test_edit_counts(awkward, nothing, tokenizer):
+    edits = edit_counts.redactions("text")
+    rows = edit_counts.count_edited(awkward, edits).collect()
+    texts = {r.doc_id: r.text for r in awkward.collect()}
+    assert len(rows) == awkward.count()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        new = edit_counts.PERSONAL.sub(lambda m: f"[{m.lastgroup.upper()}]", text)
+        assert r.n_tokens_before == len(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert r.n_tokens == len(tokenizer.encode(new, add_special_tokens=False).ids)
+    assert edit_counts.count_edited(nothing, edits).count() == 0
+
+
+def test_gathered_edits(spark):
+    edits = spark.createDataFrame([(1, 4, 6, "b"), (1, 0, 2, "a"), (2, 1, 1, None)], "doc_id long, start int, end int, replacement string")
+    docs = spark.createDataFrame([(1, "some text"), (2, "text"), (3, "x")], "doc_id long, text string").join(edit_counts.gathered(edits), "doc_id", "left")
+    grown = docs.withColumn("tree", edit_counts.tree("text")).select("doc_id", edit_counts.edited("text", "tree", "edits").alias("new"))
+    assert {r.doc_id: r.new.text for r in grown.collect()} == {1: "amebext", 2: "text", 3: "x"}
+
+
+def test_quality_base(awkward, nothing, documents):
+    for docs in (awkward, documents):
+        rules = quality.references(docs)
+        texts = docs.select("doc_id", "text").collect()
+        found = quality.judge(docs, rules).collect()
+        assert len(found) == len(texts)
+        got = sorted((r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found)
+        want = []
+        for d, t in texts:
+            c = brute.base_counts(t)
+            want.append((d or -1, *c, c[0] < 10 or 100 * c[4] > 20 * c[0]))
+        assert got == sorted(want)
+        assert all(not (r.base_failed and r.kept) for r in found)
+    assert quality.references(nothing) == []
+    assert quality.judge(nothing, []).count() == 0
+
+
+def test_quality_without_references(awkward):
+    for r in quality.judge(awkward, []).collect():
+        assert r.kept != r.base_failed and r.char_distance is None and r.word_distance is None
+
+
+def test_quality_tells_symbols_from_prose(spark, documents):
+    rules = quality.references(documents)
+    clean = documents.where("text not like '%$$$%' and length(text) > 1500").limit(1).first().text
+    noisy = " ".join(w + "$#*%"[i % 4] * 3 for i, w in enumerate(clean.split()))
+    docs = spark.createDataFrame([(1, clean), (2, noisy)], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in quality.judge(docs, rules).collect()} == {1: True, 2: False}
+
+
+def test_js_distance():
+    import numpy as np
+
+    p = np.array([[1, 0], [0.5, 0.5]])
+    assert quality.js_distance(p, np.array([0.0, 1.0]))[0] == pytest.approx(1)
+    assert quality.js_distance(p, np.array([3.0, 3.0]))[1] == pytest.approx(0)
+
+
+def test_secrets(spark, awkward, nothing, small):
+    rows = awkward.select("doc_id", "text", secret_scan.secret_spans("text").alias("spans")).collect()
+    for r in rows:
+        base = [s for s in r.spans if s.kind != "dense"]
+        text = ",".join(f"{s.kind}:{s.start}:{s.end}" for s in base)
+        import hashlib
+
+        assert hashlib.sha256(text.encode()).hexdigest() == brute.base_spans(r.text)[3]
+    dense = [r.text[s.start : s.end] for r in rows for s in r.spans if s.kind == "dense"]
+    assert dense == ["Zq8vK2xW9pLm4Rt7Yb3N"]
+    assert nothing.select(secret_scan.secret_spans("text")).count() == 0
+    texts = dict(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
+    for r in queries.op8_secret_scan(spark, small).collect():
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute.base_spans(texts[r.doc_id])
+
+
+def test_known_digests_are_no_secrets():
+    encoder = tokens.default_encoder()
+    for text in ("9E107D9D372BB6826BD81D3542A419D6", "6BA7B810-9DAD-11D1-80B4-00C04FD430C8", "first-second-third-fourth", "supercalifragilisticexpialidocious", "2024-01-02-03-04-05-06-07"):
+        assert secret_scan.dense_spans(f"id {text} end", [], encoder) == []
+    assert len(secret_scan.dense_spans("id k9Xv2LqPz7RtYw3NbMc8 end", [], encoder)) == 1
+
+
+def test_redaction(spark):
+    text = 'x password = "hunter22x" y token: abcdefgh'
+    docs = spark.createDataFrame([(text,), ("clean",), (None,)], "text string").withColumn("found", secret_scan.secret_spans("text"))
+    got = [r[0] for r in docs.select(secret_scan.redact(F.col("text"), F.col("found"))).collect()]
+    assert got == ['x [SECRET]" y [SECRET]', "clean", None]
+
+
+def test_languages(spark, documents, awkward, nothing, small):
+    rows = queries.op9_language_id(spark, small).collect()
+    langs = dict(documents.select("doc_id", "lang").collect())
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+    predict = langid.predictor(langid.model(langid.profiles(documents)))
+    for r in awkward.select("text", predict("text").alias("p")).collect():
+        has_letter = any(c.isalpha() for c in r.text or "")
+        assert (r.p.lang_pred != "und") == has_letter
+    assert langid.profiles(nothing).count() == 0
+    none = langid.predictor({})
+    assert {r[0] for r in awkward.select(none("text").lang_pred).collect()} == {"und"}
+
+
+def test_profiles_against_counting(spark):
+    docs = spark.createDataFrame([("en", "the then"), ("en", "the"), (None, "zzz"), ("de", None), ("de", "der")], "lang string, text string")
+    model = langid.model(langid.profiles(docs, 4))
+    assert set(model) == {"en", "de"}
+    t, h, e = (ord(c) + 1 for c in "the")
+    assert set(model["en"]) == {t, h, e, ((ord(" ") + 1) << 21) | t}  # a tie, the smaller code
+
+
+def test_chunks_do_not_change_counts(monkeypatch):
+    text = "una palabra, y otra palabra más. " * 50
+    whole = langid.text_counts(text)
+    monkeypatch.setattr(langid, "CHUNK", 31)
+    part = langid.text_counts(text)
+    assert (part[0] == whole[0]).all() and (part[1] == whole[1]).all()
