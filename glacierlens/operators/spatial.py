@@ -69,26 +69,33 @@ def _inside(edges: Column, px: Column, py: Column) -> Column:
     return (count % 2 == 1) | F.exists(edges, on_edge)
 
 
-def containing(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", size: float = 1.0) -> DataFrame:
+def placed_index(polygons: DataFrame, size: float = 1.0) -> tuple[DataFrame, int, int]:
+    """The written polygon index, its edges and its last part."""
+    shared_folder(polygons.sparkSession)
+    index = polygon_index(polygons, size).checkpoint()
+    edges, last = index.agg(F.sum("_n"), F.max("_part")).first()
+    return index, edges or 0, last or 0
+
+
+def containing(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", size: float = 1.0, index=None) -> DataFrame:
     """Points with ``_in``, the array of (hier, id) of all polygons around them.
 
     A map-side lookup by cell when the polygon index is small enough to
     broadcast; otherwise a join on the cell, whose hot cells AQE splits.  Each
-    part of the index is looked up in turn and adds its hits.
+    part of the index is looked up in turn and adds its hits.  ``index`` is a
+    :func:`placed_index` of the same size, where several calls share it.
     """
     s = float(size)
-    shared_folder(points.sparkSession)
-    index = polygon_index(polygons, size).checkpoint()
-    edges, last = index.agg(F.sum("_n"), F.max("_part")).first()
+    index, edges, last = index or placed_index(polygons, size)
     px, py = F.col(lon), F.col(lat)
     kind = "array<struct<hier:string,id:bigint>>"
     out = points.withColumn("_cx", F.floor(px / s)).withColumn("_cy", F.floor(py / s)).withColumn("_in", F.array().cast(kind))
     hits = F.transform(
         F.filter("_polys", lambda p: _inside(p["edges"], px, py)), lambda p: F.struct(p["hier"].alias("hier"), p["id"].alias("id"))
     ).cast(kind)
-    for part in range((last or 0) + 1):
+    for part in range(last + 1):
         side = index.where(F.col("_part") == part).drop("_n", "_part")
-        if (edges or 0) <= BROADCAST_EDGES:
+        if edges <= BROADCAST_EDGES:
             side = F.broadcast(side)
         out = out.join(side, ["_cx", "_cy"], "left").withColumn(
             "_in", F.concat("_in", F.coalesce(hits, F.array().cast(kind)))

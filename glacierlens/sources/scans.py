@@ -81,9 +81,14 @@ def scan_many(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet") -
 
 
 def merge_batches(spark: SparkSession, folder: str, order: str, fmt: str = "parquet") -> DataFrame:
-    """All batch outputs below a folder but the ones called "all", ordered by id."""
+    """All batch outputs below a folder but the ones called "all", ordered by id.
+
+    A batch's name is the first folder below ``folder``, however deep its files lie.
+    """
     df = spark.read.format(fmt).option("recursiveFileLookup", True).load(folder)
-    batch = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    top = folder.rstrip("/").rsplit("/", 1)[-1]
+    below = F.substring_index(F.col("_metadata.file_path"), f"/{top}/", -1)
+    batch = F.split(below, "/")[0]
     return df.where(~F.contains(batch, F.lit("all"))).orderBy(order)
 
 

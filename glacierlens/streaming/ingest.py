@@ -1,7 +1,9 @@
 """Incremental jobs: granules into cells, daily climate into a store.
 
-Both write one folder per micro-batch and overwrite it on a retry, so a batch
-that runs twice after a lost executor leaves its rows once.
+The stream is one of file names, so that a batch knows its files, reads them as a
+table, and can log those that were broken or saved nothing.  Each micro-batch
+writes a folder of its own and overwrites it on a retry, so a batch that runs
+twice after a lost executor leaves its rows once.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glacierlens.operators.climate import daily_to_monthly
-from glacierlens.operators.spatial import outside_all
+from glacierlens.operators.spatial import outside_all, placed_index
 from glacierlens.session import settle
 from glacierlens.sources.sinks import append_by_cell
 
@@ -22,24 +24,77 @@ def keep_granules(batch: DataFrame, min_rows: int = 100, file: str = "file") ->
     return batch.join(settle(sizes), file, "left_semi")
 
 
-def stream_footprints(spark: SparkSession, source: str, schema: T.StructType, polygons: DataFrame, out: str,
-                      checkpoint: str, min_rows: int = 100, trigger: dict | None = None, max_files: int = 1000):
-    """New granules: drop small ones and glacier points, append the rest by 1-degree cell."""
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True)
-        .parquet(source).withColumn("file", F.col("_metadata.file_path"))
+# files of any age count: a back-filled file may be older than those read before
+ANY_AGE = "100000d"
+
+
+def new_files(spark: SparkSession, source: str, max_files: int) -> DataFrame:
+    """Stream of the paths of new Parquet files; their content is not read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return (
+        spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).option("maxFileAge", ANY_AGE)
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(source).select("path")
     )
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        off_ice = outside_all(keep_granules(batch, min_rows), polygons)
-        append_by_cell(off_ice.drop("file"), f"{out}/batch={batch_id}", mode="overwrite")
+
+def read_files(paths: list[str], schema: T.StructType, spark: SparkSession) -> DataFrame:
+    """Rows of the files with their ``file``; a broken file gives none."""
+    return (
+        spark.read.schema(schema).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
+        .parquet(*paths).withColumn("file", F.col("_metadata.file_path"))
+    )
+
+
+def file_log(spark: SparkSession, paths: list[str], counts: DataFrame) -> DataFrame:
+    """A row for each file of a batch: ``counts`` by ``file``, 0 rows for a broken or empty one."""
+    listed = spark.createDataFrame([(p,) for p in paths], "file string")
+    n = [c for c in counts.columns if c != "file"]
+    return listed.join(counts, "file", "left").fillna(0, n)
+
+
+def _start(stream: DataFrame, save, checkpoint: str, trigger: dict | None):
+    """Hand the paths of each micro-batch, as many as it may hold, to ``save``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        paths = sorted(r.path for r in batch.collect())
+        if paths:
+            save(paths, batch_id)
 
     return (
-        stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def stream_footprints(spark: SparkSession, source: str, schema: T.StructType, polygons: DataFrame, out: str,
+                      checkpoint: str, min_rows: int = 100, trigger: dict | None = None, max_files: int = 1000,
+                      log: str | None = None):
+    """New granules: drop small ones and glacier points, append the rest by 1-degree cell.
+
+    With ``log``, every granule leaves its rows read and saved there, also one
+    that saves nothing, and every granule and cell its rows saved.  The polygon
+    index is built once for all batches.
+    """
+    index = placed_index(polygons)
+
+    def save(paths: list[str], batch_id: int) -> None:
+        rows = read_files(paths, schema, spark).persist()
+        off_ice = outside_all(keep_granules(rows, min_rows), polygons, index=index)
+        append_by_cell(off_ice.drop("file"), f"{out}/batch={batch_id}", mode="overwrite")
+        if log:
+            cells = off_ice.groupBy("file", F.floor("lat").cast("int").alias("lat_cell"), F.floor("lon").cast("int").alias("lon_cell"))
+            cells = cells.agg(F.count("*").alias("n_saved")).persist()
+            cells.write.mode("overwrite").parquet(f"{log}/cells/batch={batch_id}")
+            read = rows.groupBy("file").agg(F.count("*").alias("n_read"))
+            saved = cells.groupBy("file").agg(F.sum("n_saved").alias("n_saved"))
+            counts = read.join(saved, "file", "left")
+            file_log(spark, paths, counts).write.mode("overwrite").parquet(f"{log}/granules/batch={batch_id}")
+            cells.unpersist()
+        rows.unpersist()
+
+    return _start(new_files(spark, source, max_files), save, checkpoint, trigger)
+
+
 def read_off_ice(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     """The rows saved so far with their cell; none if every granule was small."""
     cells = [T.StructField(c, T.IntegerType()) for c in ("batch", "lat_cell", "lon_cell")]
@@ -55,34 +110,34 @@ DAILY = T.StructType([
 
 
 def stream_daily_climate(spark: SparkSession, source: str, out: str, checkpoint: str, schema: T.StructType = DAILY,
-                         delay: str = "1 day", trigger: dict | None = None, max_files: int = 1000):
-    """Daily sums per glacier and variable, kept in state for ``delay`` of event time.
+                         trigger: dict | None = None, max_files: int = 1000, log: str | None = None):
+    """Sums and counts of each micro-batch per glacier, variable and day.
 
-    Changed days are written per micro-batch; unreadable files are skipped.
-    Readings later than the watermark are dropped.
+    Sums add up over batches, so files may come in any order and a day may be
+    filled in years later: no state and no watermark.  A broken file is skipped;
+    with ``log``, every file leaves its number of rows there, 0 for a broken one.
     """
-    stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True)
-        .option("ignoreCorruptFiles", True).parquet(source)
-    )
-    daily = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "glacier_id", "variable").agg(
-        F.sum("value").alias("total"), F.count("value").alias("n")
-    ).select("glacier_id", "variable", F.to_date("window.start").alias("obs_date"), "total", "n")
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def save(paths: list[str], batch_id: int) -> None:
+        rows = read_files(paths, schema, spark)
+        if log:
+            rows = rows.persist()
+        daily = rows.groupBy("glacier_id", "variable", F.to_date("ts").alias("obs_date")).agg(
+            F.sum("value").alias("total"), F.count("value").alias("n")
+        )
+        daily.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if log:
+            counts = rows.groupBy("file").agg(F.count("*").alias("n_read"))
+            file_log(spark, paths, counts).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+            rows.unpersist()
 
-    return (
-        daily.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    return _start(new_files(spark, source, max_files), save, checkpoint, trigger)
 
 
 def read_daily_store(spark: SparkSession, out: str) -> DataFrame:
-    """The latest state of each day of the store."""
+    """Each day of the store, added over the batches."""
     rows = spark.read.parquet(out)
-    latest = rows.groupBy("glacier_id", "variable", "obs_date").agg(F.max(F.struct("batch", "total", "n")).alias("_l"))
-    return latest.select("glacier_id", "variable", "obs_date", F.col("_l.total").alias("total"), F.col("_l.n").alias("n"))
+    return rows.groupBy("glacier_id", "variable", "obs_date").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def monthly_from_store(spark: SparkSession, out: str) -> DataFrame:

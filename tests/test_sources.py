@@ -97,6 +97,40 @@ def test_stream_of_days_equals_the_batch(spark, tmp_path):
     assert key(got) == key(want) and len(key(got)) == 4
 
 
+def test_days_in_any_order_and_a_broken_file(spark, tmp_path):
+    src, out, chk, log = (str(tmp_path / n) for n in ("src", "out", "chk", "log"))
+    days = [dt.datetime(2020, 2, 10), dt.datetime(2020, 3, 1), dt.datetime(2020, 1, 5), dt.datetime(2020, 2, 10, 12)]
+    rows = [(ts, 1, "t", float(i)) for i, ts in enumerate(days)]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], ingest.DAILY).coalesce(1).write.parquet(f"{src}/f{i}")
+        if i == 1:
+            (tmp_path / "src" / "broken.parquet").write_bytes(b"no parquet at all")
+        ingest.stream_daily_climate(spark, src, out, chk, log=log).awaitTermination()
+    got = {str(r["obs_date"]): (r["total"], r["n"]) for r in ingest.read_daily_store(spark, out).collect()}
+    assert got == {"2020-02-10": (3.0, 2), "2020-03-01": (1.0, 1), "2020-01-05": (2.0, 1)}
+    logged = spark.read.parquet(log).collect()
+    assert len(logged) == 5
+    assert [r["file"].rsplit("/", 1)[-1] for r in logged if r["n_read"] == 0] == ["broken.parquet"]
+
+
+def test_granule_log(spark, tmp_path):
+    src, out, chk, log = (str(tmp_path / n) for n in ("src", "out", "chk", "log"))
+    for name, n in (("small", 100), ("big", 200)):
+        spark.createDataFrame(pd.DataFrame({"lon": [70.5, 72.5] * (n // 2), "lat": 30.5, "dh": 1.0})).coalesce(1).write.parquet(f"{src}/{name}")
+    schema = spark.read.parquet(f"{src}/small").schema
+    ingest.stream_footprints(spark, src, schema, _poly(spark), out, chk, log=log).awaitTermination()
+    got = sorted((r["n_read"], r["n_saved"]) for r in spark.read.parquet(f"{log}/granules").collect())
+    assert got == [(100, 0), (200, 100)]
+    assert [(r["lat_cell"], r["lon_cell"], r["n_saved"]) for r in spark.read.parquet(f"{log}/cells").collect()] == [(30, 72, 100)]
+
+
+def test_merge_leaves_out_a_partitioned_total(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2), (2, 3)], "id int, ssp int")
+    df.write.parquet(str(tmp_path / "runs" / "run_batch_0"))
+    df.write.partitionBy("ssp").parquet(str(tmp_path / "runs" / "run_all"))
+    assert scans.merge_batches(spark, str(tmp_path / "runs"), "id").count() == 2
+
+
 def test_tasks_go_on_after_an_error(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 4.0)], "glacier_id long, x double")
 
