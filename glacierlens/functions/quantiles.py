@@ -3,10 +3,11 @@
 Pass 1 counts rows per (key, value bucket), where the bucket is an
 order-preserving function of the value alone, so the counts combine map-side.
 Prefix sums over the buckets of a key tell which buckets hold the wanted
-ranks.  While such a bucket holds more than ``CANDIDATES`` rows, another pass
-splits it into 256 finer ones.  The last pass keeps only the rows of the final
-buckets, counts them per distinct value, and finds the rank inside the bucket.
-A key with a third of all rows costs the same shuffle as any other key.
+ranks.  While such a bucket holds more than ``CANDIDATES`` rows and more than one
+value, another pass splits it evenly between its least and greatest value, which
+come from the same counts; so any scale of values takes as many passes.  The last
+pass keeps only the rows of the final buckets, counts them per distinct value, and
+finds the rank inside the bucket.  No pass shuffles whole rows of a key.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ from pyspark.sql import functions as F
 
 from glacierlens.session import settle, settle_with_peak
 
-# buckets per doubling of the value in the first pass; each further pass takes 256 times as many
+# buckets per doubling of the value in the first pass; parts of a bucket in each further one
 PER_OCTAVE = 8
 REFINE = 256
-MAX_PASSES = 5
 # rows of one bucket that one task may sort at the end
 CANDIDATES = 2_000_000
 
@@ -62,7 +62,8 @@ def group_quantiles(
 
     # the buckets of one key are few, so a window per key over them is small
     per_key = Window.partitionBy(*keys)
-    counts = rows.groupBy(*keys, order_bucket(F.col("__v")).alias("__b")).agg(F.count("*").alias("__c"))
+    tally = [F.count("*").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")]
+    counts = rows.groupBy(*keys, order_bucket(F.col("__v")).alias("__b")).agg(*tally)
     counts = counts.withColumn(
         "__before", F.sum("__c").over(per_key.orderBy("__b")) - F.col("__c")
     ).withColumn("__n", F.sum("__c").over(per_key))
@@ -72,37 +73,37 @@ def group_quantiles(
         pos = rank_position(F.col("__n"), p, kind)
         ranks += [F.floor(pos).cast("long"), F.ceil(pos).cast("long")]
 
+    # a bucket of one value has nothing to split, however many rows it holds
+    spread = F.when(F.col("__hi") > F.col("__lo"), F.col("__c")).otherwise(0).alias("__open")
+
     def holding(table, wanted):
         inside = F.filter(wanted, lambda r: (r > F.col("__before")) & (r <= F.col("__before") + F.col("__c")))
-        hit = table.select(*keys, "__b", "__before", "__n", "__c", inside.alias("__want"))
-        return settle_with_peak(hit.where(F.size("__want") > 0), "__c")
+        hit = table.select(*keys, "__b", "__lo", "__hi", "__before", "__n", spread, inside.alias("__want"))
+        return settle_with_peak(hit.where(F.size("__want") > 0), "__open")
 
     targets, fullest = holding(counts, F.array_distinct(F.array(*ranks)))
-    per_octave = PER_OCTAVE
-    for _ in range(MAX_PASSES):
-        if fullest <= CANDIDATES:
-            break
-        finer = order_bucket(F.col("__v"), per_octave * REFINE)
-        split = (
-            rows.withColumn("__b", order_bucket(F.col("__v"), per_octave))
-            .join(targets.drop("__c"), [*keys, "__b"])
-            .groupBy(*keys, "__b", "__before", "__n", "__want", finer.alias("__f"))
-            .agg(F.count("*").alias("__c"))
-        )
-        # at most 256 or so finer buckets per bucket
-        below = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__f")) - F.col("__c")
+    placed = rows.withColumn("__b", order_bucket(F.col("__v")))
+
+    def within(targets):
+        return placed.join(targets, [*keys, "__b"]).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+
+    while fullest > CANDIDATES:
+        width = (F.col("__hi") - F.col("__lo")) / REFINE
+        part = F.least(F.floor((F.col("__v") - F.col("__lo")) / width), F.lit(REFINE - 1))
+        part = F.when((F.col("__open") > CANDIDATES) & (width > 0), part).otherwise(F.lit(0))
+        split = within(targets).groupBy(
+            *keys, "__b", F.col("__lo").alias("__low"), "__before", "__n", "__want", part.alias("__f")
+        ).agg(*tally)
+        # at most 256 parts per bucket
+        below = F.sum("__c").over(Window.partitionBy(*keys, "__low").orderBy("__f")) - F.col("__c")
         split = split.withColumn("__before", F.col("__before") + below)
-        targets, fullest = holding(split.drop("__b").withColumnRenamed("__f", "__b"), F.col("__want"))
-        per_octave *= REFINE
-    targets = targets.drop("__c")
-
-    held = (
-        rows.withColumn("__b", order_bucket(F.col("__v"), per_octave))
-        .join(targets, [*keys, "__b"])
-        .groupBy(*keys, "__b", "__before", "__n", "__want", "__v")
-        .agg(F.count("*").alias("__c"))
-    )
-    below = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__v")) - F.col("__c")
+        targets, left = holding(split, F.col("__want"))
+        if left == fullest:
+            break  # neighbouring values that no part can tell apart: the last pass counts them
+        fullest = left
+
+    held = within(targets).groupBy(*keys, "__b", F.col("__lo").alias("__low"), "__before", "__n", "__want", "__v").agg(F.count("*").alias("__c"))
+    below = F.sum("__c").over(Window.partitionBy(*keys, "__low").orderBy("__v")) - F.col("__c")
     held = held.withColumn("__before", F.col("__before") + below)
     hits = held.select(
         *keys,
