@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glacierlens.session import settle
+
 
 def _beta_fraction(a, b, x):
     """Continued fraction of the incomplete beta function (Lentz)."""
@@ -140,36 +142,25 @@ def solve3(a: Sequence[Sequence[Column]], b: Sequence[Column]) -> list[Column]:
 def poly_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, degree: int) -> DataFrame:
     """Least-squares polynomial (degree 1-3) per key, coefficients c0..c3.
 
-    Power sums about the mean of x keep the normal equations well scaled; the
-    centre is returned as ``x0`` so that y = sum c_k (x - x0)^k.
+    The mean and the range of x per key come first, and powers are summed of
+    the centred and scaled x, so no digits cancel.  The centre is returned as
+    ``x0`` so that y = sum c_k (x - x0)^k.
     """
-    keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
+        *keys, F.lit(0).alias("_all"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
-    # plain power sums in one pass; the shift to the centre is algebra on sums
-    raw = [F.sum(F.pow("_x", F.lit(k))).alias(f"_s{k}") for k in range(2 * degree + 1)]
-    raw += [F.sum(F.pow("_x", F.lit(k)) * F.col("_y")).alias(f"_t{k}") for k in range(degree + 1)]
-    s = rows.groupBy(*keys).agg(F.count("*").alias("n"), *raw)
-    s = s.withColumn("x0", F.col("_s1") / F.col("_s0"))
-
-    def shifted(prefix, k):
-        terms = [
-            F.lit(float(math.comb(k, j))) * F.pow(-F.col("x0"), F.lit(k - j)) * F.col(f"{prefix}{j}")
-            for j in range(k + 1)
-        ]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
-
-    for k in range(2 * degree + 1):
-        s = s.withColumn(f"_u{k}", shifted("_s", k))
-    for k in range(degree + 1):
-        s = s.withColumn(f"_w{k}", shifted("_t", k))
+    wanted, keys = list(keys), list(keys) or ["_all"]
+    range_ = (F.max("_x") - F.min("_x")) / 2
+    centre = rows.groupBy(*keys).agg(F.avg("_x").alias("x0"), F.when(range_ > 0, range_).otherwise(1.0).alias("_scale"))
+    named = settle(centre.toDF(*[f"_k{i}" for i in range(len(keys))], "x0", "_scale"))
+    rows = rows.join(named, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    d = (F.col("_x") - F.col("x0")) / F.col("_scale")
+    sums = [F.sum(F.pow(d, F.lit(k))).alias(f"_u{k}") for k in range(2 * degree + 1)]
+    sums += [F.sum(F.pow(d, F.lit(k)) * F.col("_y")).alias(f"_w{k}") for k in range(degree + 1)]
+    s = rows.groupBy(*keys, "x0", "_scale").agg(F.count("*").alias("n"), *sums)
     a = [[F.col(f"_u{i + j}") for j in range(degree + 1)] for i in range(degree + 1)]
     coef = solve3(a, [F.col(f"_w{i}") for i in range(degree + 1)])
-    return s.select(*keys, "n", "x0", *[c.alias(f"c{i}") for i, c in enumerate(coef)])
+    return s.select(*wanted, "n", "x0", *[(c / F.pow("_scale", F.lit(i))).alias(f"c{i}") for i, c in enumerate(coef)])
 
 
 def poly_value(degree: int, x: Column) -> Column:
