@@ -46,22 +46,22 @@ def sample_se(col: str) -> Column:
     return F.coalesce(F.stddev_samp(col), F.lit(0.0)) / F.sqrt(F.count("*"))
 
 
-def hierarchies(df: DataFrame) -> DataFrame:
-    """Every row once per region set it belongs to (all, 15, 22, plateau, cell).
+HIERARCHIES = ("all", "r15", "r22", "tp", "cell")
+
+
+def hierarchies(df: DataFrame, wanted: Sequence[str] = HIERARCHIES) -> DataFrame:
+    """Every row once per wanted region set it belongs to (all, 15, 22, plateau, cell).
 
     One explode and one later groupBy; rows must be filtered before.
     """
-    cell = (F.floor("lon") * 1000 + F.floor("lat")).cast("int")
-    tags = F.array(
-        F.struct(F.lit("all").alias("hier"), F.lit(0).alias("region_id")),
-        F.struct(F.lit("r15").alias("hier"), F.col("region15").cast("int").alias("region_id")),
-        F.struct(F.lit("r22").alias("hier"), F.col("region22").cast("int").alias("region_id")),
-        F.struct(
-            F.lit("tp").alias("hier"),
-            F.when(F.col("tp_flag") == 1, F.lit(0)).alias("region_id"),
-        ),
-        F.struct(F.lit("cell").alias("hier"), cell.alias("region_id")),
-    )
+    region = {
+        "all": F.lit(0),
+        "r15": F.col("region15").cast("int"),
+        "r22": F.col("region22").cast("int"),
+        "tp": F.when(F.col("tp_flag") == 1, F.lit(0)),
+        "cell": (F.floor("lon") * 1000 + F.floor("lat")).cast("int"),
+    }
+    tags = F.array(*[F.struct(F.lit(h).alias("hier"), region[h].alias("region_id")) for h in wanted])
     kept = F.filter(tags, lambda t: t["region_id"].isNotNull())
     return df.withColumn("_t", F.explode(kept)).select("*", "_t.hier", "_t.region_id").drop("_t")
 

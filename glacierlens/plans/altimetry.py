@@ -19,7 +19,7 @@ def _cell(df):
 
 def flagship(v):
     """Annual, multi-year robust statistics for all region hierarchies."""
-    rows = alt.qc_height_change(v.fp_spread, 200.0)
+    rows = alt.qc_height_change(v.fp, 200.0)
     win = tw.annual_windows(v.spark, *SPAN)
     tagged = tw.window_join(alt.hierarchies(rows.where(alt.PHOTON.base())), win, REF_DATE)
     return rounded(alt.robust_stats(tagged, ["hier", "region_id", "win_kind", "win_id"], alt.PHOTON))
@@ -69,7 +69,7 @@ def _(v):
 
 @query("A06_multi_hierarchy", robust("hfp", "hier, region_id", 150, 75, 101, True))
 def _(v):
-    tagged = alt.hierarchies(v.fp_spread.where(alt.PHOTON.base()))
+    tagged = alt.hierarchies(v.fp.where(alt.PHOTON.base()))
     return rounded(alt.robust_stats(tagged, ["hier", "region_id"], alt.PHOTON))
 
 
@@ -80,7 +80,7 @@ select hier, region_id, count(*) as n, {R(mid('dh', 0.01))} as low, {R(mid('dh',
   {R(mid('dh', 0.5))} as median from t group by 1, 2""",
 )
 def _(v):
-    tagged = alt.hierarchies(v.fp_spread).where(F.col("hier").isin("all", "r22"))
+    tagged = alt.hierarchies(v.fp, ("all", "r22"))
     return rounded(alt.percentile_bounds(tagged, ["hier", "region_id"], 1.0))
 
 
@@ -143,7 +143,7 @@ def _(v):
 )
 def _(v):
     win = tw.annual_windows(v.spark, *SPAN).where(F.col("win_kind").isin("y1", "y3", "all"))
-    rows = tw.window_join(_cell(v.fp_spread.where(alt.PHOTON.base())), win, REF_DATE)
+    rows = tw.window_join(_cell(v.fp.where(alt.PHOTON.base())), win, REF_DATE)
     out = alt.robust_stats(rows, ["cell", "win_kind", "win_id"], alt.PHOTON_CELL)
     return rounded(
         out.withColumn("center_lon", F.floor(F.col("cell") / 1000) + 0.5)
@@ -158,9 +158,9 @@ where slope_deg <= 40 and quality_flag = 0 and abs(dh) < 120 and elev_ref >= 220
 group by 1, 2, 3, 4"""
 
 
-def _bands(v):
+def _bands(v, wanted=alt.HIERARCHIES):
     win = tw.annual_windows(v.spark, *SPAN).where(F.col("win_kind") == "y1")
-    rows = tw.window_join(alt.hierarchies(v.fp_spread.where(alt.PHOTON.base())), win, REF_DATE)
+    rows = tw.window_join(alt.hierarchies(v.fp.where(alt.PHOTON.base()), wanted), win, REF_DATE)
     return alt.band_stats(rows, ["hier", "region_id", "win_id"], cut=120.0)
 
 
@@ -194,7 +194,7 @@ where b.hier = 'r22' and {keep} group by 1, 2 having sum(a.area) > 0"""
 
 
 def _weighted(v, mission):
-    bands = _bands(v).where(F.col("hier") == "r22")
+    bands = _bands(v, ("r22",))
     return rounded(alt.area_weighted(bands, v.band_area, ["region_id", "win_id"], mission))
 
 

@@ -13,7 +13,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.session import spread
 
 REF_DATE = "1995-01-01"
 START, END = "1995-01-01", "2002-01-01"
@@ -39,12 +38,6 @@ class Views:
     def fp(self) -> DataFrame:
         return self._footprints(self._lines)
 
-    @cached_property
-    def fp_spread(self) -> DataFrame:
-        """The footprints over all cores, for queries that multiply rows."""
-        lines = spread(self.table("lineitem")).join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        return self._footprints(lines)
-
     def _footprints(self, lines: DataFrame) -> DataFrame:
         day = F.col("l_shipdate").cast("date")
         return lines.join(

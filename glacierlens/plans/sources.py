@@ -63,7 +63,7 @@ def _(v):
 def _(v):
     path = scratch_path(v.spark, "regions")
     win = tw.annual_windows(v.spark, START, END, REF_DATE).where(F.col("win_kind") == "y1")
-    tags = alt.hierarchies(v.fp_spread.where(alt.PHOTON.base())).where(F.col("hier").isin("r15", "tp"))
+    tags = alt.hierarchies(v.fp.where(alt.PHOTON.base()), ("r15", "tp"))
     bands = alt.band_stats(tw.window_join(tags, win, REF_DATE), ["hier", "region_id", "win_id"], cut=120.0)
     sinks.write_by_region(rounded(bands), path)
     return v.spark.read.parquet(path)

@@ -55,13 +55,3 @@ def settle_with_peak(df: DataFrame, column: str | None, max_rows: int = BROADCAS
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a cheap dimension table, only after counting it."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a file scan with fewer splits than cores (one small file).
-
-    For scans that feed row-multiplying work.  A table with many splits, as any
-    large one has, is returned unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
