@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glacierlens.functions.scalars import SECONDS_IN_MONTH, SECONDS_IN_YEAR
+from glacierlens.functions.scalars import SECONDS_IN_MONTH, SECONDS_IN_YEAR, clip
+from glacierlens.operators.series import snow_bucket
 from glacierlens.session import sized_broadcast
 
 
@@ -42,14 +43,14 @@ def lapse(df: DataFrame, ph: Physics = DEFAULT) -> Column:
     if "gradient" not in df.columns:
         return F.lit(ph.gradient)
     g = F.when(F.col("gradient").isNull() | F.isnan("gradient"), F.lit(ph.gradient)).otherwise(F.col("gradient"))
-    return F.least(F.greatest(g, F.lit(ph.gradient_bounds[0])), F.lit(ph.gradient_bounds[1]))
+    return clip(g, *ph.gradient_bounds)
 
 
 def point_terms(temp: Column, prcp: Column, ph: Physics = DEFAULT) -> tuple[Column, Column]:
     """(melt temperature, solid precipitation) at a point."""
-    melt = F.greatest(temp - ph.t_melt, F.lit(0.0))
+    melt = clip(temp - ph.t_melt, lo=0.0)
     share = 1 - (temp - ph.t_solid) / (ph.t_liq - ph.t_solid)
-    return melt, prcp * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    return melt, prcp * clip(share, 0.0, 1.0)
 
 
 def merge_bins(bins: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def yearly_climate_on_height(points: DataFrame, flatten: bool = False) -> DataFr
     else:
         monthly, keys = points, ["glacier_id", "bin_id", "height", "yr"]
     return monthly.groupBy(*keys).agg(
-        F.sum("melt").alias("melt"), F.sum("snow").alias("snow"), F.count("*").alias("_n")
+        F.sum("melt").alias("melt"), F.sum("snow").alias("snow"), F.count(F.col("melt") + F.col("snow")).alias("_n")
     ).where(F.col("_n") == 12).drop("_n")
 
 
@@ -89,7 +90,7 @@ def glacier_climate(climate: DataFrame, params: DataFrame, bins: DataFrame, ph:
     return pts.groupBy("glacier_id", "yr").agg(
         (F.sum(w * F.col("melt")) / F.sum(w) * 12).alias("temp"),
         (F.sum(w * F.col("snow")) / F.sum(w) * 12).alias("prcp"),
-        F.expr("bit_or(shiftleft(1, mo - 1))").alias("_m"),
+        F.expr("bit_or(if(melt + snow is null, 0, shiftleft(1, mo - 1)))").alias("_m"),
     ).where(F.col("_m") == ALL_MONTHS).drop("_m")
 
 
@@ -99,7 +100,7 @@ def point_balance(points: DataFrame, annual: bool = False) -> DataFrame:
         share = SECONDS_IN_MONTH / SECONDS_IN_YEAR
         return points.withColumn("mb", F.col("snow") - F.col("mu") * F.col("melt") - F.col("bias") * share)
     sums = points.groupBy("glacier_id", "bin_id", "height", "width", "yr", "mu", "bias").agg(
-        F.sum("melt").alias("melt"), F.sum("snow").alias("snow"), F.count("*").alias("_n")
+        F.sum("melt").alias("melt"), F.sum("snow").alias("snow"), F.count(F.col("melt") + F.col("snow")).alias("_n")
     )
     return sums.where(F.col("_n") == 12).drop("_n").withColumn(
         "mb", F.col("snow") - F.col("mu") * F.col("melt") - F.col("bias")
@@ -111,7 +112,7 @@ def linear_balance(bins: DataFrame, ela: DataFrame, grad: float = 3.0, max_mb: f
     """(z - ela) * grad, capped; one degree lifts the ELA by 150 m."""
     mb = (F.col("height") - (F.col("ela") + 150.0 * temp_bias)) * grad
     if max_mb is not None:
-        mb = F.least(mb, F.lit(float(max_mb)))
+        mb = clip(mb, hi=float(max_mb))
     return bins.join(ela, "glacier_id").withColumn("mb", mb)
 
 
@@ -307,11 +308,12 @@ def climate_qc(climate: DataFrame, params: DataFrame, bins: DataFrame, n_months:
     every year, else for n accumulation months at the top.
 
     The n-th warmest (coldest) month of each year fixes the shift, so no loop.
+    Years with a missing month don't count.
     """
     t_snow = (ph.t_liq + ph.t_solid) / 2
     per_year = climate.groupBy("glacier_id", "yr").agg(
         F.sort_array(F.collect_list("temp"), asc=False).alias("_d")
-    ).select(
+    ).where(F.size("_d") == 12).select(
         "glacier_id", F.get("_d", F.lit(n_months - 1)).alias("_warm"),
         F.get("_d", F.size("_d") - n_months).alias("_cold"),
     )
@@ -370,19 +372,14 @@ def runoff_components(points: DataFrame, areas: DataFrame) -> DataFrame:
     """
     share = SECONDS_IN_MONTH / SECONDS_IN_YEAR
     j = point_balance(points).join(areas, ["glacier_id", "bin_id"])
-    off = F.greatest(F.col("ref_area") - F.col("bin_area"), F.lit(0.0))
+    off = clip(F.col("ref_area") - F.col("bin_area"), lo=0.0)
     j = j.withColumn("_off", off).withColumn("_melt", F.col("snow") - F.col("mb"))
-    j = j.withColumn("_melt", F.when(F.col("bias") == 0, F.greatest("_melt", F.lit(0.0))).otherwise(F.col("_melt")))
+    j = j.withColumn("_melt", F.when(F.col("bias") == 0, clip("_melt", lo=0.0)).otherwise(F.col("_melt")))
     j = j.withColumn("_snow_off", F.col("snow") * F.col("_off")).withColumn("_melt_off", F.col("_melt") * F.col("_off"))
-    per = Window.partitionBy("glacier_id", "bin_id").orderBy("yr", "mo")
-    so_far = per.rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("_c", F.sum(F.col("_snow_off") - F.col("_melt_off")).over(so_far))
-    j = j.withColumn("_bucket", F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(so_far)))
-    before = F.coalesce(F.lag("_bucket").over(per), F.lit(0.0))
-    j = j.withColumn("_melt_off", F.least(F.col("_melt_off"), before + F.col("_snow_off")))
+    j = snow_bucket(j, ["glacier_id", "bin_id"], ["yr", "mo"], "_snow_off", "_melt_off")
     rain = F.col("prcp") - F.col("snow")
     return j.groupBy("glacier_id", "yr", "mo").agg(
-        F.sum("_melt_off").alias("melt_off"),
+        F.sum("melt_limited").alias("melt_off"),
         F.sum(F.col("_melt") * F.col("bin_area")).alias("melt_on"),
         F.sum(F.col("bias") * share * F.col("_off")).alias("residual_off"),
         F.sum(F.col("bias") * share * F.col("bin_area")).alias("residual_on"),
@@ -390,7 +387,7 @@ def runoff_components(points: DataFrame, areas: DataFrame) -> DataFrame:
         F.sum(rain * F.col("bin_area")).alias("rain_on"),
         F.sum("_snow_off").alias("snow_off"),
         F.sum(F.col("snow") * F.col("bin_area")).alias("snow_on"),
-        F.sum("_bucket").alias("snow_bucket"),
+        F.sum("bucket").alias("snow_bucket"),
     )
 
 

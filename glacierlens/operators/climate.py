@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glacierlens.functions.quantiles import group_quantiles
+from glacierlens.functions.scalars import clip
 
 # fixed values: score weights, tightest threshold first
 TEMP_WEIGHTS = ((99, 4.0), (95, 2.0), (90, 1.0))
@@ -186,5 +187,6 @@ WINTER_FACTOR = (-1.0614, 3.92, 0.1, 10.0)
 
 def winter_prcp_factor(w: Column, params=WINTER_FACTOR) -> Column:
     a, b, lo, hi = params
-    f = F.lit(a) * F.ln(w) + F.lit(b)
-    return F.least(F.greatest(f, F.lit(lo)), F.lit(hi))
+    # the logarithm of nothing is minus infinity, NULL stays NULL
+    f = F.when(w > 0, F.lit(a) * F.ln(w) + F.lit(b)).when(w == 0, F.lit(hi))
+    return clip(f, lo, hi)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glacierlens.functions.scalars import clip
 from glacierlens.operators.climate import FUTURE_PRCP_WEIGHTS, TEMP_WEIGHTS, step_score
 
 
@@ -49,7 +50,7 @@ def delta_method(model: DataFrame, ref: DataFrame, y0: int, y1: int, members: Se
     return m.select(
         "glacier_id", *members, "yr", "mo",
         (F.col("temp") - mt + F.col("_rt")).alias("temp"),
-        F.greatest(ratio, F.lit(0.0)).alias("prcp"),
+        clip(ratio, lo=0.0).alias("prcp"),
     )
 
 
@@ -79,13 +80,14 @@ def sorted_quantile(arr: Column, tau: Column) -> Column:
 
 
 def percent_rank_avg(keys: Sequence[str], value: str, kind: str = "average") -> Column:
-    """Rank share in (0, 1]: average rank of ties over n, or count(<=) over n."""
+    """Rank share in (0, 1]: average rank of ties over n, or count(<=) over n; NULL has none."""
     per = Window.partitionBy(*keys)
+    ordered = per.orderBy(F.asc_nulls_last(value))
     n = F.count(value).over(per)
-    if kind == "count":
-        return F.cume_dist().over(per.orderBy(value))
-    ties = F.count(value).over(per.orderBy(value).rangeBetween(0, 0))
-    return (F.rank().over(per.orderBy(value)) + (ties - 1) / 2) / n
+    ties = F.count(value).over(ordered.rangeBetween(0, 0))
+    up_to = F.rank().over(ordered) + ties - 1
+    share = up_to / n if kind == "count" else (F.rank().over(ordered) + (ties - 1) / 2) / n
+    return F.when(F.col(value).isNotNull(), share)
 
 
 def qdm(obs: DataFrame, hist: DataFrame, fut: DataFrame, members: Sequence[str] = ("gcm", "ssp"),
@@ -122,7 +124,7 @@ def qdm(obs: DataFrame, hist: DataFrame, fut: DataFrame, members: Sequence[str]
     return f.select(
         *month, "yr",
         (sorted_quantile(F.col("_ot"), F.col("_tt")) + F.col("temp") - sorted_quantile(F.col("_ht"), F.col("_tt"))).alias("temp"),
-        F.greatest(sorted_quantile(F.col("_op"), F.col("_tp")) * ratio, F.lit(0.0)).alias("prcp"),
+        clip(sorted_quantile(F.col("_op"), F.col("_tp")) * ratio, lo=0.0).alias("prcp"),
     )
 
 
@@ -142,7 +144,7 @@ def detrended_qm(obs: DataFrame, fut: DataFrame, members: Sequence[str] = ("gcm"
     return j.select(
         *month, "yr",
         (F.col("temp_trend") + sorted_quantile(F.col("_ot"), F.col("_tt"))).alias("temp"),
-        F.greatest(F.col("prcp_trend") + sorted_quantile(F.col("_op"), F.col("_tp")), F.lit(0.0)).alias("prcp"),
+        clip(F.col("prcp_trend") + sorted_quantile(F.col("_op"), F.col("_tp")), lo=0.0).alias("prcp"),
     )
 
 
@@ -208,8 +210,9 @@ def year_scaling(obs: DataFrame, model: DataFrame, matched: DataFrame, var: str,
     o = _signed_sums(obs, ["glacier_id"], var, positive).select("glacier_id", F.col("yr").alias("hist_yr"), F.col("_sum").alias("_o"))
     m = _signed_sums(model, series, var, positive).select(*series, F.col("yr").alias("hist_yr"), F.col("_sum").alias("_m"))
     j = matched.select(*series, "yr", "hist_yr").join(o, ["glacier_id", "hist_yr"]).join(m, [*series, "hist_yr"])
-    k = F.when(F.col("_m") != 0, F.col("_o") / F.col("_m"))
-    return j.select(*series, "yr", F.least(k, F.lit(limit)).alias("scaling"))
+    # something over nothing is beyond the limit; nothing over nothing is unknown
+    k = F.when(F.col("_m") != 0, clip(F.col("_o") / F.col("_m"), hi=limit)).when(F.col("_o") > 0, F.lit(limit))
+    return j.select(*series, "yr", k.alias("scaling"))
 
 
 def rank_scaling(model: DataFrame, temp_scaling: DataFrame, prcp_scaling: DataFrame,
@@ -226,7 +229,7 @@ def rank_scaling(model: DataFrame, temp_scaling: DataFrame, prcp_scaling: DataFr
     if cooling is not None:
         temp = temp.when(F.col("_kt").isNotNull() & (at < 0), mt + at * cooling)
     prcp = F.when(F.col("_kp").isNotNull() & (ap <= 0), mp + ap * F.col("_kp")).otherwise(F.col("prcp"))
-    return j.select(*series, "yr", "mo", temp.otherwise(F.col("temp")).alias("temp"), F.greatest(prcp, F.lit(0.0)).alias("prcp"))
+    return j.select(*series, "yr", "mo", temp.otherwise(F.col("temp")).alias("temp"), clip(prcp, lo=0.0).alias("prcp"))
 
 
 def window_scaling(obs: DataFrame, model: DataFrame, y0: int, y1: int, future: int, end: int,
@@ -261,7 +264,7 @@ def window_scaling(obs: DataFrame, model: DataFrame, y0: int, y1: int, future: i
         kp = kp * F.when(fluct("prcp") > 0, 1 - grow).otherwise(1 + grow)
     temp = F.when(kt.isNotNull(), F.col("temp_trend") + fluct("temp") * kt).otherwise(F.col("temp"))
     prcp = F.when(kp.isNotNull(), F.col("prcp_trend") + fluct("prcp") * kp).otherwise(F.col("prcp"))
-    return j.select(*series, "yr", "mo", temp.alias("temp"), F.greatest(prcp, F.lit(0.0)).alias("prcp"))
+    return j.select(*series, "yr", "mo", temp.alias("temp"), clip(prcp, lo=0.0).alias("prcp"))
 
 
 # ---- scenario builders
@@ -347,5 +350,5 @@ def ensemble_mean_member(runs: DataFrame, ref: DataFrame, y0: int, y1: int) -> D
     )
     return mean.join(clim, "glacier_id").select(
         "glacier_id", "yr", "mo", (F.col("_ct") + F.col("_t")).alias("temp"),
-        F.greatest(F.col("_cp") + F.col("_p"), F.lit(0.0)).alias("prcp"),
+        clip(F.col("_cp") + F.col("_p"), lo=0.0).alias("prcp"),
     )

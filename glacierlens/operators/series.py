@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glacierlens.functions.quantiles import group_quantiles
+from glacierlens.functions.scalars import clip
 
 # fixed value: scale of the median absolute deviation
 MAD_SCALE = 1.4826
@@ -169,10 +170,13 @@ def snow_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], snow:
     """b = max(b + snow - melt, 0), with melt limited to the bucket.
 
     Closed form: with C the running sum of snow - melt, b = C - min(0, min C so far).
+    After a missing month the bucket is unknown, and NULL from there on.
     """
     per = Window.partitionBy(*keys).orderBy(*order)
     so_far = per.rowsBetween(Window.unboundedPreceding, 0)
-    c = df.withColumn("_c", F.sum(F.col(snow) - F.col(melt)).over(so_far))
-    c = c.withColumn("bucket", F.col("_c") - F.least(F.lit(0.0), F.min("_c").over(so_far)))
-    before = F.coalesce(F.lag("bucket").over(per), F.lit(0.0))
-    return c.withColumn("melt_limited", F.least(F.col(melt), before + F.col(snow))).drop("_c")
+    step = F.col(snow) - F.col(melt)
+    known = F.count(F.when(step.isNull(), 1)).over(so_far) == 0
+    c = df.withColumn("_c", F.when(known, F.sum(step).over(so_far)))
+    c = c.withColumn("bucket", F.col("_c") - clip(F.min("_c").over(so_far), hi=0.0))
+    there = F.when(F.row_number().over(per) == 1, F.lit(0.0)).otherwise(F.lag("bucket").over(per)) + F.col(snow)
+    return c.withColumn("melt_limited", F.when(there < F.col(melt), there).when(there >= F.col(melt), F.col(melt))).drop("_c")

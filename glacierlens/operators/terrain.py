@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glacierlens.functions.quantiles import group_quantiles, group_ranks
 from glacierlens.functions.regression import linear_trend
-from glacierlens.functions.scalars import speed
+from glacierlens.functions.scalars import clip, speed
 from glacierlens.session import settle
 
 # fixed values: slope limits of the band geometry, volume-area scaling
@@ -83,7 +83,7 @@ def elevation_bins(pixels: DataFrame, dx: float, size: float = 30.0, variables:
     ``pixels`` carry slope (see :func:`slope_aspect`).  Glaciers with fewer
     than two bands take a third of the bin size; those still flat are left out.
     """
-    clipped = F.least(F.greatest(F.col("slope"), F.lit(MIN_SLOPE)), F.lit(MAX_SLOPE))
+    clipped = clip("slope", MIN_SLOPE, MAX_SLOPE)
     ends = pixels.groupBy("glacier_id").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
 
     def bands(step):
@@ -98,7 +98,7 @@ def elevation_bins(pixels: DataFrame, dx: float, size: float = 30.0, variables:
     rows = rows.select("glacier_id", "_b", "_step", "_s", "value", *variables).checkpoint()
     keys = ["glacier_id", "_b"]
     q = group_quantiles(rows, keys, "_s", {"_q05": 0.05, "_q20": 0.2, "_q80": 0.8}).drop("n")
-    share = F.least(F.greatest(2 * F.col("_q20") / F.col("_q80"), F.lit(0.55)), F.lit(0.95))
+    share = clip(2 * F.col("_q20") / F.col("_q80"), 0.55, 0.95)
     q = settle(q.withColumn("_x", share))
     joined = rows.join(q, keys)
     top = settle(group_quantiles(joined, [*keys, "_x"], "_s", {"_qx": F.col("_x")}).drop("n", "_x"))
@@ -109,7 +109,7 @@ def elevation_bins(pixels: DataFrame, dx: float, size: float = 30.0, variables:
         F.coalesce(F.avg(held), F.avg("_s")).alias("slope"),
         *[F.avg(v).alias(v) for v in variables],
     )
-    out = out.withColumn("slope", F.least(F.greatest(F.col("slope"), F.lit(MIN_SLOPE)), F.lit(MAX_SLOPE)))
+    out = out.withColumn("slope", clip("slope", MIN_SLOPE, MAX_SLOPE))
     out = out.withColumn("bin_elevation", (F.col("_b") + 0.5) * F.col("_step")).withColumn(
         "dx", F.col("_step") / F.tan("slope")
     ).withColumn("width", F.col("area") / F.col("dx"))
@@ -196,7 +196,7 @@ def glacier_statistics(glaciers: DataFrame, pixels: DataFrame | None = None, bin
 def conserve_total(df: DataFrame, keys: Sequence[str], value: str, targets: DataFrame, cell: float = 1.0) -> DataFrame:
     """Rescale a field so that sum * cell is the key's target; negative and zero become NULL."""
     keys = list(keys)
-    pos = F.greatest(F.col(value), F.lit(0.0))
+    pos = clip(value, lo=0.0)
     sums = df.groupBy(*keys).agg((F.sum(pos) * cell).alias("_sum")).join(targets, keys)
     ratio = F.when(F.col("_sum") > 0, F.col("target") / F.col("_sum")).otherwise(1.0)
     scaled = df.join(settle(sums.select(*keys, ratio.alias("_k"))), keys).withColumn("_v", pos * F.col("_k"))

@@ -24,7 +24,7 @@ s as (select e.glacier_id, gcm, ssp, yr, e.mo, prcp, rt, rp, {scaled} as temp fr
   window m as (partition by e.glacier_id, gcm, ssp, e.mo), near as (partition by e.glacier_id, gcm, ssp, e.mo order by yr rows between 2 preceding and 2 following)),
 a as (select glacier_id, gcm, ssp, mo, avg(temp) as mt, avg(prcp) as mp from s where yr between 1996 and 1999 group by 1, 2, 3, 4)
 select s.glacier_id, s.gcm, s.ssp, s.yr, s.mo, {R('s.temp - a.mt + s.rt')} as temp,
-  {R('case when mp is null then 0e0 when mp <> 0 then greatest(s.prcp / a.mp * s.rp, 0) else greatest(s.prcp - a.mp + s.rp, 0) end', 5)} as prcp
+  {R('case when mp is null or s.prcp is null or s.rp is null then null when mp <> 0 then greatest(s.prcp / a.mp * s.rp, 0) else greatest(s.prcp - a.mp + s.rp, 0) end', 5)} as prcp
 from s left join a on s.glacier_id = a.glacier_id and s.gcm = a.gcm and s.ssp = a.ssp and s.mo = a.mo"""
 
 
@@ -158,9 +158,9 @@ _SCALE = """oa as (select glacier_id, yr, temp - avg(temp) over (partition by gl
 ea as (select glacier_id, gcm, ssp, yr, temp - avg(temp) over (partition by glacier_id, gcm, ssp, yr) as t, prcp - avg(prcp) over (partition by glacier_id, gcm, ssp, yr) as p from ens),
 os as (select glacier_id, yr, sum(greatest(t, 0)) as t, sum(least(p, 0)) as p from oa group by 1, 2),
 es as (select glacier_id, gcm, ssp, yr, sum(greatest(t, 0)) as t, sum(least(p, 0)) as p from ea group by 1, 2, 3, 4),
-kt as (select ma.glacier_id, ma.gcm, ma.ssp, ma.yr, least(o.t / nullif(e.t, 0), 2) as k from ma join os o on o.glacier_id = ma.glacier_id and o.yr = ty
+kt as (select ma.glacier_id, ma.gcm, ma.ssp, ma.yr, case when e.t <> 0 and o.t / e.t > 2 then 2e0 when e.t <> 0 then o.t / e.t when o.t > 0 then 2e0 end as k from ma join os o on o.glacier_id = ma.glacier_id and o.yr = ty
   join es e on e.glacier_id = ma.glacier_id and e.gcm = ma.gcm and e.ssp = ma.ssp and e.yr = ty),
-kp as (select ma.glacier_id, ma.gcm, ma.ssp, ma.yr, least(o.p / nullif(e.p, 0), 2) as k from ma join os o on o.glacier_id = ma.glacier_id and o.yr = py
+kp as (select ma.glacier_id, ma.gcm, ma.ssp, ma.yr, case when e.p <> 0 and o.p / e.p > 2 then 2e0 when e.p <> 0 then o.p / e.p when o.p > 0 then 2e0 end as k from ma join os o on o.glacier_id = ma.glacier_id and o.yr = py
   join es e on e.glacier_id = ma.glacier_id and e.gcm = ma.gcm and e.ssp = ma.ssp and e.yr = py),
 x as (select e.*, avg(temp) over (partition by e.glacier_id, e.gcm, e.ssp, e.yr) as mt, avg(prcp) over (partition by e.glacier_id, e.gcm, e.ssp, e.yr) as mp, kt.k as a, kp.k as b
   from ens e left join kt on e.glacier_id = kt.glacier_id and e.gcm = kt.gcm and e.ssp = kt.ssp and e.yr = kt.yr
@@ -169,7 +169,7 @@ x as (select e.*, avg(temp) over (partition by e.glacier_id, e.gcm, e.ssp, e.yr)
 
 @query("W11_rank_scaling", f"""with {_MATCH}, {_SCALE}
 select glacier_id, gcm, ssp, yr, mo, {R('''case when a is not null and temp - mt >= 0 then mt + (temp - mt) * a when a is not null and temp - mt < 0 then mt + (temp - mt) * 1.5e0 else temp end''')} as temp,
-  {R('greatest(case when b is not null and prcp - mp <= 0 then mp + (prcp - mp) * b else prcp end, 0)', 5)} as prcp from x""")
+  {R('case when prcp is not null then greatest(case when b is not null and prcp - mp <= 0 then mp + (prcp - mp) * b else prcp end, 0) end', 5)} as prcp from x""")
 def _(v):
     kt = sn.year_scaling(v.mon, v.ens, _matched(v, "temp"), "temp", True)
     kp = sn.year_scaling(v.mon, v.ens, _matched(v, "prcp"), "prcp", False)
