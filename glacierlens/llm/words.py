@@ -13,7 +13,7 @@ import numpy as np
 
 U = np.uint64
 # bytes of text that are handled at a time; a longer text is handled alone
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
