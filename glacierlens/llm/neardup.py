@@ -7,8 +7,8 @@ bins make the bucket keys.
 
 A bucket's candidate edges form stars: each member against a few hubs.  Links are
 confirmed on full shingle sets.  The next round looks only at buckets whose
-members are still in different components, with three times as many hubs.  Rounds
-end when all pairs are tested, or two in a row have joined nothing.  Documents with equal sets are one node from the start.
+members are still in different components, with many more hubs.  Rounds end when
+all pairs of such a bucket are tested, or two in a row have joined nothing.  Documents with equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ LEAST = 75
 BINS = 256
 ROWS = 5
 BANDS = BINS // ROWS
-# hubs of a bucket in the first round; each further round has three times as many
+# hubs of a bucket in the first round, and how many times as many in each further one
 STARS = 3
+MORE_STARS = 9
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -221,7 +222,7 @@ def link(docs: DataFrame) -> DataFrame:
             placed = members.withColumn("comp", F.col("node"))
         else:
             placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        hubs = written(_hubs(placed, stars), "hubs")
+        hubs = _hubs(placed, stars)
         # buckets whose members are still apart; the others are done
         star = placed.join(hubs, "key")
         members = written(star.select("key", "node", "n").distinct(), "members")
@@ -240,7 +241,7 @@ def link(docs: DataFrame) -> DataFrame:
         if not links.isEmpty():
             labels = components(links) if labels is None else _joined(labels, links)
             idle = 0
-        stars *= 3
+        stars *= MORE_STARS
 
     heads = nodes.select("node", *same)
     if labels is not None:
