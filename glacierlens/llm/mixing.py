@@ -24,8 +24,10 @@ from glacierlens.llm.tokens import default_encoder
 
 SEED = 20_240
 EPOCHS = 2
-# a leaf's order is cut into so many slots; only the slot at the budget's end is sorted
-SLOTS = 4096
+# a leaf's order is cut into 2**SLOT_BITS slots, and so is the slot at the budget's end, LEVELS
+# times in all; only what that leaves is sorted
+SLOT_BITS = 6
+LEVELS = 2
 
 
 @F.pandas_udf(T.LongType())
@@ -84,6 +86,12 @@ def leaf_tokens(docs: DataFrame, levels: list[str], tokens: str) -> dict[tuple,
     return {tuple(r[:-1]): int(r[-1] or 0) for r in rows}
 
 
+def _at_ends(rows: DataFrame, ends: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with their leaf's end slot; there is one row of ``ends`` for each leaf."""
+    named = [f"end_{n}" for n in names]
+    return rows.join(F.broadcast(ends.toDF(*named, "end", "before")), [F.col(n).eqNullSafe(F.col(m)) for n, m in zip(names, named, strict=True)])
+
+
 def select(docs: DataFrame, levels: list[str], tokens: str, key: Column, plan: dict[tuple, int], seed: int = SEED) -> DataFrame:
     """Documents of each leaf's whole epochs and of its last epoch's prefix, with ``epoch``.
 
@@ -105,15 +113,17 @@ def select(docs: DataFrame, levels: list[str], tokens: str, key: Column, plan: d
     order = F.xxhash64(key, F.lit(seed), F.col("whole_epoch"))
     ordered = many.withColumn("order", order)
     full = ordered.where("whole_epoch < whole")
-    # the last epoch: slots before the budget's end are in, the slot at the end is sorted
-    last = ordered.where("whole_epoch = whole and rest > 0").withColumn("slot", F.shiftrightunsigned("order", 64 - (SLOTS - 1).bit_length()))
-    sums = last.groupBy(*names, "slot", "rest").agg(F.sum(tokens).alias("slot_tokens"))
-    before = F.sum("slot_tokens").over(Window.partitionBy(*names).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    edges = sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before <= rest")
-    ends = written(edges.groupBy(*names).agg(F.max("slot").alias("end"), F.max_by("before", "slot").alias("before")), "ends")
-    named = [f"end_{n}" for n in names]
-    ends = F.broadcast(ends.toDF(*named, "end", "before"))
-    last = last.join(ends, [F.col(n).eqNullSafe(F.col(m)) for n, m in zip(names, named, strict=True)])
+    # the last epoch: slots before the budget's end are in, the slot at the end is cut again or sorted
+    last = ordered.where("whole_epoch = whole and rest > 0")
+    ends = None
+    for level in range(1, LEVELS + 1):
+        slots = last.withColumn("slot", F.shiftrightunsigned("order", 64 - level * SLOT_BITS))
+        cut = slots.withColumn("before", F.lit(0)) if ends is None else _at_ends(slots, ends, names).where(F.shiftright("slot", SLOT_BITS) == F.col("end"))
+        sums = cut.groupBy(*names, "slot", "rest", "before").agg(F.sum(tokens).alias("slot_tokens"))
+        earlier = F.sum("slot_tokens").over(Window.partitionBy(*names).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+        edges = sums.withColumn("before", F.col("before") + F.coalesce(earlier, F.lit(0))).where("before <= rest")
+        ends = written(edges.groupBy(*names).agg(F.max("slot").alias("end"), F.max_by("before", "slot").alias("before")), "ends")
+    last = _at_ends(slots, ends, names)
     inside = last.where("slot < end")
     running = F.sum(tokens).over(Window.partitionBy(*names).orderBy("order", key, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
     at_end = last.where("slot = end").withColumn("so_far", F.col("before") + running).where("so_far <= rest")

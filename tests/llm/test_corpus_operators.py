@@ -183,7 +183,7 @@ def test_shares():
 def test_mixing(request, table, monkeypatch):
     docs = request.getfixturevalue(table).select("doc_id", "text", "lang", "source")
     encoder = tokens.default_encoder()
-    monkeypatch.setattr(mixing, "SLOTS", 4)
+    monkeypatch.setattr(mixing, "SLOT_BITS", 2)
     rows = mixing.mix(docs, ["lang", "source"], 0.9, lambda path: 1.0).collect()
     have, got = Counter(), Counter()
     leaves = defaultdict(list)
