@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glacierlens.session import settle, settle_with_peak
+from glacierlens.session import attach, settle, settle_with_peak
 
 # buckets per doubling of the value in the first pass; parts of a bucket in each further one
 PER_OCTAVE = 8
@@ -85,7 +85,7 @@ def group_quantiles(
     placed = rows.withColumn("__b", order_bucket(F.col("__v")))
 
     def within(targets):
-        return placed.join(targets, [*keys, "__b"]).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        return attach(placed, targets, [*keys, "__b"]).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
 
     while fullest > CANDIDATES:
         width = (F.col("__hi") - F.col("__lo")) / REFINE

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glacierlens.functions.quantiles import group_quantiles
-from glacierlens.session import settle, sized_broadcast
+from glacierlens.session import attach, settle, sized_broadcast
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def screened(df: DataFrame, keys: Sequence[str], screen: Screen) -> tuple[DataFr
         group_quantiles(first, keys, "dh", {"med": 0.5}).withColumnRenamed("n", "n_first")
     )
     rows = first if screen.from_survivors else base
-    kept = rows.join(med, keys).where(F.abs(F.col("dh") - F.col("med")) < screen.second)
+    kept = attach(rows, med, keys).where(F.abs(F.col("dh") - F.col("med")) < screen.second)
     return kept, med
 
 
@@ -174,7 +174,7 @@ def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, p: float = 5.0)
     bounds = settle(
         group_quantiles(df, keys, value, {"_lo": p / 100, "_hi": 1 - p / 100}, kind="midpoint").drop("n")
     )
-    inside = df.join(bounds, keys).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    inside = attach(df, bounds, keys).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
     return inside.groupBy(*keys).agg(
         F.avg(value).alias("mean"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"),
@@ -192,14 +192,14 @@ def sigma_filter(df: DataFrame, keys: Sequence[str], value: str, k: float = 3.0)
     stats = settle(
         df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("_s"))
     )
-    return df.join(stats, keys).where(F.abs(F.col(value) - F.col("_m")) <= k * F.col("_s")).drop("_m", "_s")
+    return attach(df, stats, keys).where(F.abs(F.col(value) - F.col("_m")) <= k * F.col("_s")).drop("_m", "_s")
 
 
 def median_filter(df: DataFrame, keys: Sequence[str], value: str, t: float = 75.0) -> DataFrame:
     """Rows closer than t to the key's median."""
     keys = list(keys)
     med = settle(group_quantiles(df, keys, value, {"_med": 0.5}).drop("n"))
-    return df.join(med, keys).where(F.abs(F.col(value) - F.col("_med")) < t).drop("_med")
+    return attach(df, med, keys).where(F.abs(F.col(value) - F.col("_med")) < t).drop("_med")
 
 
 def qc_height_change(df: DataFrame, max_abs: float = 200.0) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glacierlens.functions.quantiles import group_quantiles, group_ranks
 from glacierlens.functions.regression import linear_trend
 from glacierlens.functions.scalars import clip, speed
-from glacierlens.session import settle
+from glacierlens.session import attach, settle
 
 # fixed values: slope limits of the band geometry, volume-area scaling
 MIN_SLOPE, MAX_SLOPE = math.radians(0.4), math.radians(60.0)
@@ -91,7 +91,7 @@ def elevation_bins(pixels: DataFrame, dx: float, size: float = 30.0, variables:
 
     step = F.when(bands(size) >= 2, F.lit(float(size))).when(bands(size / 3) >= 2, F.lit(size / 3))
     sizes = settle(ends.select("glacier_id", step.alias("_step")).where(F.col("_step").isNotNull()))
-    rows = pixels.join(sizes, "glacier_id").withColumn("_s", clipped).withColumn(
+    rows = attach(pixels, sizes, ["glacier_id"]).withColumn("_s", clipped).withColumn(
         "_b", F.floor(F.col("value") / F.col("_step")).cast("long")
     )
     # five passes follow, so the slopes (two window shuffles) are written once
@@ -100,10 +100,10 @@ def elevation_bins(pixels: DataFrame, dx: float, size: float = 30.0, variables:
     q = group_quantiles(rows, keys, "_s", {"_q05": 0.05, "_q20": 0.2, "_q80": 0.8}).drop("n")
     share = clip(2 * F.col("_q20") / F.col("_q80"), 0.55, 0.95)
     q = settle(q.withColumn("_x", share))
-    joined = rows.join(q, keys)
+    joined = attach(rows, q, keys)
     top = settle(group_quantiles(joined, [*keys, "_x"], "_s", {"_qx": F.col("_x")}).drop("n", "_x"))
     held = F.when(F.col("_s").between(F.col("_q05"), F.col("_qx")), F.col("_s"))
-    out = joined.join(top, keys).groupBy(*keys, "_step").agg(
+    out = attach(joined, top, keys).groupBy(*keys, "_step").agg(
         (F.count("*") * dx * dx).alias("area"),
         F.avg("value").alias("mean_elevation"),
         F.coalesce(F.avg(held), F.avg("_s")).alias("slope"),

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side is allowed up to this many (narrow) rows; beyond it the
-# same join runs as a shuffle join, with AQE splitting skewed partitions.
+# same join runs as a salted shuffle join (see attach).
 BROADCAST_ROWS = 500_000
+# tasks that share a key's rows in a join with a table beyond that
+SALTS = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,7 +51,24 @@ def settle_with_peak(df: DataFrame, column: str | None, max_rows: int = BROADCAS
     done = df.checkpoint()
     peak = F.max(column) if column else F.lit(0)
     n, top = done.agg(F.count("*"), peak).first()
-    return (F.broadcast(done) if n <= max_rows else done), top or 0
+    table = F.broadcast(done) if n <= max_rows else done
+    table.fits_broadcast = n <= max_rows
+    return table, top or 0
+
+
+def attach(rows: DataFrame, table: DataFrame, keys) -> DataFrame:
+    """Join a settled table to the rows it was derived from.
+
+    A table that fits is broadcast.  Otherwise the table comes once per salt and
+    a row's salt is a hash of all its columns, so a key's rows are dealt over
+    ``SALTS`` tasks.  As the join is not partitioned by the keys alone, a later
+    ``groupBy`` combines within each task before it shuffles.
+    """
+    if getattr(table, "fits_broadcast", False):
+        return rows.join(table, list(keys)) if keys else rows.join(table)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
