@@ -53,9 +53,11 @@ def robust_trend_huber(df: DataFrame, keys: Sequence[str], x: str, y: str, n: st
 
 def seasonal_trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], period: int = 12,
                    trend: int = 241, seasonal: int = 13, robust: bool = False) -> DataFrame:
-    """Adds value_trend, value_seasonal and value_resid per series; the series is even in time.
+    """Adds value_trend, value_seasonal and value_resid per series.
 
-    Series shorter than two periods get NULL.
+    ``order`` is one column of whole steps, or a cycle and the step within it.
+    Series that are shorter than two periods, lack a step or value, or have one
+    twice get NULL.
     """
     keys, order, values = list(keys), list(order), list(values)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -63,9 +65,11 @@ def seasonal_trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
+        step = pdf[order[-1]].to_numpy(float) + (period * pdf[order[0]].to_numpy(float) if len(order) > 1 else 0.0)
+        even = len(step) >= 2 * period and (np.diff(step) == 1).all()
         for v in values:
             y = pdf[v].to_numpy(float)
-            ok = len(y) >= 2 * period and np.isfinite(y).all()
+            ok = even and np.isfinite(y).all()
             tr, se, _ = stl(y, period, seasonal, trend, robust) if ok else (np.full(len(y), np.nan),) * 3
             pdf[f"{v}_trend"], pdf[f"{v}_seasonal"], pdf[f"{v}_resid"] = tr, se, y - tr - se
         return pdf

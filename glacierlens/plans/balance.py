@@ -235,7 +235,7 @@ def _(v):
 
 
 _PROF = """prof as (select c_nationkey as glacier_id, cast(year(o_orderdate) as int) as yr, cast(2000 + 100 * (o_custkey % 40) as int) as band, avg(o_totalprice) as mb
-  from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F' group by 1, 2, 3)"""
+  from orders join customer on o_custkey = c_custkey group by 1, 2, 3)"""
 
 
 @query("A54b_mb_profile", f"""with {_PROF}, r as (select * from prof where yr between 1996 and 1999),
@@ -243,7 +243,7 @@ y as (select glacier_id, count(distinct yr) as y from r group by 1), b as (selec
 select r.glacier_id, r.yr, r.band, {R('r.mb', 4)} as mb from r join y on r.glacier_id = y.glacier_id
 join b on b.glacier_id = r.glacier_id and b.band = r.band where k / cast(y as double) >= 0.75e0""")
 def _(v):
-    orders = v.table("orders").where(F.col("o_orderstatus") == "F").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = v.table("orders").join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
     prof = orders.groupBy(
         F.col("c_nationkey").alias("glacier_id"), F.year("o_orderdate").alias("yr"),
         (2000 + 100 * (F.col("o_custkey") % 40)).cast("int").alias("band"),

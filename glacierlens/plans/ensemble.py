@@ -399,11 +399,11 @@ def _(v):
     return rounded(en.assemble_climate(v.mon, g))
 
 
-@query("S10_assemble_runs", f"""with r as (select rgi_id, yr, sum(volume) as volume, sum(area) as area from runs where gcm = 'P' group by 1, 2),
+@query("S10_assemble_runs", f"""with r as (select rgi_id, yr, sum(volume) as volume, sum(area) as area from runs group by 1, 2),
 ax as (select distinct yr from r), ids as (select distinct rgi_id from r)
 select ids.rgi_id, ax.yr, {R('r.volume')} as volume, r.area from ids cross join ax left join r on r.rgi_id = ids.rgi_id and r.yr = ax.yr""")
 def _(v):
-    r = v.runs.where(F.col("gcm") == "P").groupBy("rgi_id", "yr").agg(F.sum("volume").alias("volume"), F.sum("area").alias("area"))
+    r = v.runs.groupBy("rgi_id", "yr").agg(F.sum("volume").alias("volume"), F.sum("area").alias("area"))
     return rounded(en.assemble_axis(r, "rgi_id", "yr", ["volume", "area"]))
 
 
