@@ -157,10 +157,15 @@ def _blobs(block: np.ndarray, columns: list[np.ndarray]):
     """One row for each block: its number and the columns' values as bytes."""
     order = np.argsort(block, kind="stable")
     block = block[order]
-    cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, int)
-    ends = np.append(cuts[1:], len(block))
-    columns = [c[order] for c in columns]
-    return [pa.array(block[cuts])] + [pa.array([c[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()) for c in columns]
+    edges = _edges(block)
+    return [pa.array(block[edges[:-1]])] + [pa.array([c[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for c in (c[order] for c in columns)]
+
+
+def _edges(sorted_: np.ndarray) -> np.ndarray:
+    """Where groups of equal values begin, and the end."""
+    if not len(sorted_):
+        return np.zeros(1, np.int64)
+    return np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]))
 
 
 def _column(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -233,9 +238,8 @@ def _gather(column: str, kind):
         new = np.ones(len(ids), bool)
         new[1:] = (ids[1:] != ids[:-1]) | (values[1:] != values[:-1])
         ids, values = ids[new], values[new]
-        cuts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, int)
-        ends = np.append(cuts[1:], len(ids))
-        return pa.table([pa.array(ids[cuts]), pa.array([values[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())], names=["doc_id", "found"])
+        edges = _edges(ids)
+        return pa.table([pa.array(ids[edges[:-1]]), pa.array([values[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["doc_id", "found"])
 
     return gather
 
