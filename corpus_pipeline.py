@@ -29,8 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that repeat a kept id, one stays.  Documents without an id all stay.
     """
-    kept = neardup.link(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id")).drop("kept_id").dropDuplicates(["doc_id"])
+    kept_id = fresh(docs, "kept_id")
+    kept = neardup.link(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(kept_id)).distinct()
+    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(kept_id)).drop(kept_id).dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -34,7 +34,7 @@ COLUMNS = 16
 EPSILON = 2.6
 # candidates and queries of one task's block
 BLOCK_ROWS = 8192
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 4096
 
 
 def rotation(dim: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glacierlens.llm.tables import written
+from glacierlens.llm.tables import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     minima combine before each shuffle, so a node with many edges is no hot key.
     """
     rest = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
+    labels, done = None, []
     while not rest.isEmpty():
         both = rest.select("a", "b").union(rest.select("b", "a"))
         near = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "nearest")
@@ -26,9 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
             labels = step
         else:
             further = step.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-            labels = written(labels.join(further, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+            before = labels
+            labels = written(before.join(further, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+            done += [before, step]
         a = step.select(F.col("node").alias("a"), F.col("comp").alias("x"))
         b = step.select(F.col("node").alias("b"), F.col("comp").alias("y"))
         moved = rest.join(a, "a").join(b, "b").where("x <> y")
+        done += [near, rest]
         rest = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(*done)
+        done = []
     return rest.select(F.col("a").alias("node"), F.col("b").alias("comp")) if labels is None else labels

@@ -100,34 +100,36 @@ def select(docs: DataFrame, levels: list[str], tokens: str, key: Column, plan: d
     are a leaf of their own.  Rows of one key in one leaf are ordered by their text.
     """
     spark = docs.sparkSession
+    epoch = fresh(docs, "epoch")
     have = leaf_tokens(docs, levels, tokens)
     rows = [(*path, n // have[path] if have[path] else 0, n % have[path] if have[path] else 0) for path, n in plan.items()]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kinds = dict(docs.dtypes)
     names = [f"leaf_{i}" for i in range(len(levels))]
-    schema = ", ".join(f"`{n}` {kinds[c]}" for n, c in zip(names, levels, strict=True)) + ", whole long, rest long"
+    schema = ", ".join(f"at_{n} {kinds[c]}" for n, c in zip(names, levels, strict=True)) + ", whole long, rest long"
     # as many rows as there are leaves: sources of a language, whatever the number of documents
     leaves = F.broadcast(spark.createDataFrame(rows, schema))
-    same = [F.col(n).eqNullSafe(docs[c]) for n, c in zip(names, levels, strict=True)]
-    matched = docs.join(leaves, same)
-    many = matched.withColumn("whole_epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
-    order = F.xxhash64(key, F.lit(seed), F.col("whole_epoch"))
-    ordered = many.withColumn("order", order)
-    full = ordered.where("whole_epoch < whole")
+    # a document's own columns travel in one, whatever their names
+    tree = [F.col(c).alias(n) for n, c in zip(names, levels, strict=True)]
+    packed = docs.select(F.struct("*").alias("row"), *tree, F.col(tokens).alias("tokens"), key.alias("key"), F.xxhash64("text").alias("text_hash"))
+    matched = packed.join(leaves, [F.col(n).eqNullSafe(F.col(f"at_{n}")) for n in names])
+    many = matched.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    ordered = many.withColumn("order", F.xxhash64("key", F.lit(seed), F.col("epoch")))
+    full = ordered.where("epoch < whole")
     # the last epoch: slots before the budget's end are in, the slot at the end is cut again or sorted
-    last = ordered.where("whole_epoch = whole and rest > 0")
+    last = ordered.where("epoch = whole and rest > 0")
     ends = None
     for level in range(1, LEVELS + 1):
         slots = last.withColumn("slot", F.shiftrightunsigned("order", 64 - level * SLOT_BITS))
         cut = slots.withColumn("before", F.lit(0)) if ends is None else _at_ends(slots, ends, names).where(F.shiftright("slot", SLOT_BITS) == F.col("end"))
-        sums = cut.groupBy(*names, "slot", "rest", "before").agg(F.sum(tokens).alias("slot_tokens"))
+        sums = cut.groupBy(*names, "slot", "rest", "before").agg(F.sum("tokens").alias("slot_tokens"))
         earlier = F.sum("slot_tokens").over(Window.partitionBy(*names).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
         edges = sums.withColumn("before", F.col("before") + F.coalesce(earlier, F.lit(0))).where("before <= rest")
         ends = written(edges.groupBy(*names).agg(F.max("slot").alias("end"), F.max_by("before", "slot").alias("before")), "ends")
     last = _at_ends(slots, ends, names)
     inside = last.where("slot < end")
-    running = F.sum(tokens).over(Window.partitionBy(*names).orderBy("order", key, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("tokens").over(Window.partitionBy(*names).orderBy("order", "key", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
     at_end = last.where("slot = end").withColumn("so_far", F.col("before") + running).where("so_far <= rest")
-    columns = [*docs.columns, F.col("whole_epoch").cast("int").alias("epoch")]
+    columns = ["row.*", F.col("epoch").cast("int").alias(epoch)]
     return full.select(*columns).unionByName(inside.select(*columns)).unionByName(at_end.select(*columns))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glacierlens.llm import words
-from glacierlens.llm.tables import blocks, written
+from glacierlens.llm.tables import blocks, discard, written
 
 U = np.uint64
 WINDOW = 13
@@ -309,6 +309,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names = written(shared_names(keyed, n_blocks), "names")
     asked = keyed.where("text is not null").join(names, "doc_id")
     repeats = written(repeated_windows(asked, n_blocks), "repeats")
+    discard(names)
 
     def cut(batches):
         for batch in batches:
