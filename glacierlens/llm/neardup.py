@@ -7,8 +7,8 @@ bins make the bucket keys.
 
 A bucket's candidate edges form stars: each member against a few hubs.  Links are
 confirmed on full shingle sets.  The next round looks only at buckets whose
-members are still in different components, with many more hubs.  Rounds end when
-all pairs of such a bucket are tested, or two in a row have joined nothing.  Documents with equal sets are one node from the start.
+members are still in different components, with other hubs.  Rounds end when all
+pairs of such a bucket are tested, or two in a row have joined nothing.  Documents with equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ LEAST = 75
 BINS = 256
 ROWS = 5
 BANDS = BINS // ROWS
-# hubs of a bucket in the first round, and how many times as many in each further one
+# hubs of a bucket in the first round and in each further one; they bound the pairs of a round
 STARS = 3
-MORE_STARS = 9
+MORE_STARS = 8
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -169,12 +169,12 @@ def _confirm(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
-def _hubs(placed: DataFrame, stars: int) -> DataFrame:
+def _hubs(placed: DataFrame, stars: int, turn: int) -> DataFrame:
     """Up to ``stars`` hubs of each bucket with more than one component.
 
     One for each cell of a hash: mostly the same ones in all buckets of a group.
     """
-    order = F.xxhash64("node", F.lit(stars))
+    order = F.xxhash64("node", F.lit(turn))
     cells = placed.groupBy("key", F.pmod(order, F.lit(stars)).alias("cell")).agg(
         F.min(F.struct(order.alias("order"), "node", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
@@ -216,17 +216,17 @@ def link(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").select("node", "text", "set_a", "set_b")
     sets = written(_sets(texts).dropDuplicates(["node"]), "sets")
 
-    labels, tested, stars, idle = None, None, STARS, 0
+    labels, tested, turn, idle = None, None, 0, 0
     while idle < 2:
         if labels is None:
             placed = members.withColumn("comp", F.col("node"))
         else:
             placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        hubs = _hubs(placed, stars)
+        hubs = _hubs(placed, MORE_STARS if turn else STARS, turn)
         # buckets whose members are still apart; the others are done
-        star = placed.join(hubs, "key")
-        members = written(star.select("key", "node", "n").distinct(), "members")
+        members = written(placed.select("key", "node", "n").join(hubs.select("key").distinct(), "key", "left_semi"), "members")
         alike = (F.col("hub.comp") != F.col("comp")) & (100 * F.least("n", "hub.n") >= LEAST * F.greatest("n", "hub.n"))
+        star = placed.join(hubs, "key")
         pairs = star.where(alike).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -241,7 +241,7 @@ def link(docs: DataFrame) -> DataFrame:
         if not links.isEmpty():
             labels = components(links) if labels is None else _joined(labels, links)
             idle = 0
-        stars *= MORE_STARS
+        turn += 1
 
     heads = nodes.select("node", *same)
     if labels is not None:
