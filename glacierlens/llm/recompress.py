@@ -299,12 +299,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: the words that are left, joined by one space.
 
     Removed is each word of a 13-word window that also starts in a document with a
-    smaller id.  One row per row.  A null text has no words.  A null id is larger
-    than any other; rows with one id (or without) don't count as smaller than each
-    other, and lose what any of them loses at the same place.
+    smaller id.  One row per row.  A null text has no words.  Documents without an
+    id come after all others, by a hash of their texts.  Rows with one id don't
+    count as smaller than each other, and lose what any of them loses at the same
+    place.
     """
-    last = (1 << 63) - 1
-    keyed = docs.select(F.coalesce("doc_id", F.lit(last)).alias("doc_id"), "text")
+    behind = F.lit((1 << 63) - 1) - F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))
+    named = docs.select("doc_id", F.coalesce("doc_id", behind).alias("key"), "text")
+    keyed = named.select(F.col("key").alias("doc_id"), "text")
     n_blocks = blocks(docs, F.length("text"), BLOCK_CHARS, 12)
     names = written(shared_names(keyed, n_blocks), "names")
     asked = keyed.where("text is not null").join(names, "doc_id")
@@ -328,11 +330,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     own = [own[i] for i in np.flatnonzero(~gone)]
                 n_removed.append(n_words[-1] - len(own))
                 kept.append(b" ".join(own).decode("utf-8", "replace"))
-            ids = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None if i == last else i for i in ids], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    final = keyed.join(repeats, "doc_id", "left").select("doc_id", "text", "found")
+    final = named.join(repeats.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "text", "found")
     return final.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
