@@ -30,7 +30,7 @@ ROWS = 5
 BANDS = BINS // ROWS
 # hubs of a bucket in the first round and in each further one; they bound the pairs of a round
 STARS = 3
-MORE_STARS = 8
+MORE_STARS = 4
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
