@@ -127,6 +127,7 @@ select gl.glacier_id, name, region22, {R('area_km2')} as area_km2, {R('m.t')} as
 from gl left join m on gl.region22 = m.glacier_id""",
 )
 def _(v):
+    # some regions have no series, to show the left join
     means = v.mon.where(F.col("glacier_id") < 20).groupBy(F.col("glacier_id").alias("region22")).agg(
         F.avg("temp").alias("value")
     )

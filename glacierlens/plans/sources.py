@@ -62,6 +62,7 @@ def _(v):
 @query("S07_write_by_region", f"select hier, region_id, win_id, band_center, {R('mean')} as mean, n, {R('se')} as se from ({_BANDS}) where hier in ('r15', 'tp')")
 def _(v):
     path = scratch_path(v.spark, "regions")
+    # the output has one folder for each region, here of two region sets
     win = tw.annual_windows(v.spark, START, END, REF_DATE).where(F.col("win_kind") == "y1")
     tags = alt.hierarchies(v.fp.where(alt.PHOTON.base()), ("r15", "tp"))
     bands = alt.band_stats(tw.window_join(tags, win, REF_DATE), ["hier", "region_id", "win_id"], cut=120.0)
@@ -101,6 +102,7 @@ def _(v):
     rows = v.fp.select("track", "obs_day", "lon", "lat", "dh", F.concat_ws("-", "track", F.year("obs_date")).alias("granule"))
     rows.repartition("granule").write.partitionBy("granule").parquet(src)
     schema = rows.drop("granule").schema
+    # every second rectangle, so that some points lie outside all
     polys = v.hpoly.where(F.col("id") % 2 == 1)
     ingest.stream_footprints(v.spark, src, schema, polys, out, chk, min_rows=1400).awaitTermination()
     return rounded(

@@ -180,6 +180,7 @@ def _(v):
 @query("P20_offset_correct", f"""select region22, {R('avg(dh + coalesce(case when n_nationkey < 20 then n_regionkey * 0.1e0 end, 0))')} as dh, count(*) as n
 from fp join nation on region22 = n_nationkey group by 1""")
 def _(v):
+    # some regions have no offset, to show that their rows stay as they are
     corr = v.table("nation").where(F.col("n_nationkey") < 20).select(
         F.col("n_nationkey").alias("region22"), (F.col("n_regionkey") * 0.1).alias("offset")
     )
