@@ -32,6 +32,15 @@ def awkward_rows():
     return rows
 
 
+@pytest.fixture(autouse=True, scope="package")
+def few_partitions(spark):
+    """The tables are tiny and the operators run many jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def awkward(spark):
     return spark.createDataFrame(awkward_rows(), SCHEMA).repartition(3)
