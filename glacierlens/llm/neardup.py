@@ -5,10 +5,12 @@ shingle fell into borrows the value of a bin found by hashing its number again
 and again, the same way for every document (optimal densification).  Bands of
 bins make the bucket keys.
 
-A bucket's candidate edges form stars: each member against a few hubs.  Links are
-confirmed on full shingle sets.  The next round looks only at buckets whose
-members are still in different components, with other hubs.  Rounds end when all
-pairs of such a bucket are tested, or two in a row have joined nothing.  Documents with equal sets are one node from the start.
+A first pass joins most of a bucket by stars: each member against a few hubs, for a
+few rounds.  Then every pair of a bucket that still spans components is looked
+at: small buckets give their pairs, large ones are cut into blocks and pairs of
+blocks compared by bitmaps of the shingles, which bound the similarity from above.
+Links are confirmed on full shingle sets.  Documents with equal sets are one node
+from the start.
 """
 
 from __future__ import annotations
@@ -31,6 +33,16 @@ BANDS = BINS // ROWS
 # hubs of a bucket in the first round and in each further one; they bound the pairs of a round
 STARS = 3
 MORE_STARS = 4
+# rounds of hubs at most; what they leave is compared pair by pair
+ROUNDS = 4
+# a bucket up to this size gives its pairs as rows; a larger one is cut into blocks of about BLOCK members
+SMALL = 16
+BLOCK = 1024
+# bits of a document's bitmap: a power of two from eight times its shingles, within these bounds
+LEAST_BITS = 512
+MOST_BITS = 1 << 16
+# bits that are unpacked at a time
+SLICE = 4096
 
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -128,8 +140,93 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each shingle at its hash; a shorter bitmap is the longer one folded."""
+    width = LEAST_BITS
+    while width < min(8 * len(grams), MOST_BITS):
+        width *= 2
+    bits = np.zeros(width, np.uint8)
+    bits[(words.mix(grams ^ U(0x94D049BB133111EB)) & U(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    while maps.shape[1] > width:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+def similar_enough(n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a ``left`` and a ``right`` document that may be similar enough.
+
+    A bit that only one of two documents has stands for at least one shingle that
+    only it has, so no similar pair is left out.
+    """
+    sizes = np.array([len(x) for x in maps])
+    found_a, found_b = [], []
+    for wide_a in np.unique(sizes[left]):
+        for wide_b in np.unique(sizes[right]):
+            # sets of similar size have bitmaps of one size or neighbouring ones
+            if max(wide_a, wide_b) > 2 * min(wide_a, wide_b):
+                continue
+            width = int(min(wide_a, wide_b))
+            a, b = left[sizes[left] == wide_a], right[sizes[right] == wide_b]
+            x = _folded(np.frombuffer(b"".join(maps[i] for i in a), np.uint8).reshape(len(a), wide_a), width)
+            y = _folded(np.frombuffer(b"".join(maps[i] for i in b), np.uint8).reshape(len(b), wide_b), width)
+            both = np.zeros((len(a), len(b)), np.float32)
+            ones_a, ones_b = np.zeros(len(a), np.float32), np.zeros(len(b), np.float32)
+            for at in range(0, width, SLICE // 8):
+                p = np.unpackbits(x[:, at : at + SLICE // 8], axis=1).astype(np.float32)
+                q = np.unpackbits(y[:, at : at + SLICE // 8], axis=1).astype(np.float32)
+                both += p @ q.T
+                ones_a += p.sum(1)
+                ones_b += q.sum(1)
+            most = np.minimum(n[a][:, None] - (ones_a[:, None] - both), n[b][None, :] - (ones_b[None, :] - both))
+            i, j = np.nonzero(100 * most >= LEAST * (n[a][:, None] + n[b][None, :] - most))
+            found_a.append(a[i])
+            found_b.append(b[j])
+    if not found_a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _compare(unit: pa.Table) -> pa.Table:
+    """Pairs of two blocks (or of one with itself) that may be links between components."""
+    node, comp = np.array(unit["node"].to_pylist(), np.int64), np.array(unit["comp"].to_pylist(), np.int64)
+    n, side = np.array(unit["n"].to_pylist(), np.float64), np.array(unit["side"].to_pylist(), np.int64)
+    maps = unit["bits"].to_pylist()
+    one, two = unit["one"][0].as_py(), unit["two"][0].as_py()
+    a, b = similar_enough(n, maps, np.flatnonzero(side == one), np.flatnonzero(side == two))
+    keep = (comp[a] != comp[b]) & ((one != two) | (node[a] < node[b]))
+    a, b = node[a[keep]], node[b[keep]]
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _rest(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that share a bucket, lie in two components and may be similar enough.
+
+    All pairs of all buckets are looked at.  ``placed`` has ``key, node, n, comp``.
+    """
+    held = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    held = written(held.where("low <> high").select("key", "m"), "apart")
+    few = placed.join(held.where(F.col("m") <= SMALL).select("key"), "key")
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    alike = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (100 * F.least("n", "n_b") >= LEAST * F.greatest("n", "n_b"))
+    pairs = few.join(other, "key").where(alike).select(F.col("node").alias("a"), "b")
+
+    many = held.where(F.col("m") > SMALL).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    side = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    sent = placed.join(many, "key").withColumn("side", side)
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("key", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "node", "n", "comp", "side")
+    sent = sent.join(sets.select("node", "bits"), "node")
+    crowded = sent.groupBy("key", "one", "two").applyInArrow(_compare, "a long, b long")
+    return pairs.union(crowded).distinct()
+
+
 def _sets(wanted: DataFrame) -> DataFrame:
-    """Sorted shingle fingerprints of ``id, text``, eight bytes each."""
+    """Sorted shingle fingerprints of ``id, text``, eight bytes each, and their bitmap."""
 
     def gather(batches):
         for batch in batches:
@@ -145,10 +242,11 @@ def _sets(wanted: DataFrame) -> DataFrame:
                 right = (one.view(np.int64) == np.array(a[first:end])) & (two.view(np.int64) == np.array(b[first:end]))
                 cuts = np.searchsorted(owner, np.arange(n + 1))
                 blobs = [grams[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)]
-                rows = pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(blobs, pa.binary())], names=["node", "grams"])
+                maps = [bitmap(grams[cuts[i] : cuts[i + 1]]) for i in range(n)]
+                rows = pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())], names=["node", "grams", "bits"])
                 yield rows.filter(pa.array(right))
 
-    return wanted.mapInArrow(gather, "node long, grams binary")
+    return wanted.mapInArrow(gather, "node long, grams binary, bits binary")
 
 
 def _confirm(pairs: DataFrame) -> DataFrame:
@@ -216,12 +314,19 @@ def link(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").select("node", "text", "set_a", "set_b")
     sets = written(_sets(texts).dropDuplicates(["node"]), "sets")
 
-    labels, tested, turn, idle = None, None, 0, 0
-    while idle < 2:
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+        both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        return written(_confirm(both), "links")
+
+    def labelled(members: DataFrame) -> DataFrame:
         if labels is None:
-            placed = members.withColumn("comp", F.col("node"))
-        else:
-            placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            return members.withColumn("comp", F.col("node"))
+        return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    labels, tested = None, None
+    for turn in range(ROUNDS):
+        placed = labelled(members)
         hubs = _hubs(placed, MORE_STARS if turn else STARS, turn)
         # buckets whose members are still apart; the others are done
         members = written(placed.select("key", "node", "n").join(hubs.select("key").distinct(), "key", "left_semi"), "members")
@@ -234,14 +339,18 @@ def link(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         tested = pairs if tested is None else tested.union(pairs)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-        both = both.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-        links = written(_confirm(both), "links")
-        idle += 1
-        if not links.isEmpty():
-            labels = components(links) if labels is None else _joined(labels, links)
-            idle = 0
-        turn += 1
+        links = confirmed(pairs)
+        if links.isEmpty():
+            break
+        labels = components(links) if labels is None else _joined(labels, links)
+
+    # what the hubs have left, pair by pair
+    if tested is not None:
+        pairs = written(_rest(labelled(members), sets).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            links = confirmed(pairs)
+            if not links.isEmpty():
+                labels = components(links) if labels is None else _joined(labels, links)
 
     heads = nodes.select("node", *same)
     if labels is not None:

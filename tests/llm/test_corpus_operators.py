@@ -53,6 +53,35 @@ def test_near_duplicates_in_a_large_group(spark):
     assert {r.doc_id: r.component_id for r in neardup.link(docs).collect()} == comps
 
 
+def test_near_duplicates_in_a_group_mostly_unlike(spark):
+    """Few links among many variants of one text, below 0.75 for the most part."""
+    rnd = random.Random(4)
+    base = [f"word{i}" for i in range(150)]
+    texts = []
+    for i in range(1500):
+        own = list(base)
+        for at in rnd.sample(range(150), 4):
+            own[at] = f"other{i}x{at}"
+        texts.append((i, " ".join(own)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    comps, _ = brute.components(texts)
+    assert {r.doc_id: r.component_id for r in neardup.link(docs).collect()} == comps
+
+
+def test_bitmaps_leave_no_similar_pair_out():
+    rnd = np.random.default_rng(6)
+    sets, base = [], rnd.integers(0, 1 << 62, 3000, dtype=np.uint64)
+    for size in (1, 3, 60, 62, 64, 70, 126, 130, 150, 1000, 1030, 3000):
+        for lost in (0, size // 8, size // 5):
+            sets.append(np.unique(np.concatenate([base[: size - lost], rnd.integers(0, 1 << 62, lost, dtype=np.uint64)])))
+    at = np.arange(len(sets))
+    n = np.array([len(s) for s in sets], float)
+    found = set(zip(*map(np.ndarray.tolist, neardup.similar_enough(n, [neardup.bitmap(s) for s in sets], at, at)), strict=True))
+    both = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    links = {(i, j) for i in at for j in at if 100 * both[i][j] >= 75 * (n[i] + n[j] - both[i][j])}
+    assert links <= found and len(found) < 2 * len(links)
+
+
 def test_densified_signatures_estimate_similarity():
     rnd = np.random.default_rng(1)
     for size in (20, 600):
