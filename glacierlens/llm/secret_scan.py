@@ -2,8 +2,10 @@
 
 Ordinary words take few tokens for their length under a trained vocabulary;
 random strings take many.  A long run of key characters with few characters per
-token is reported, unless it is a known digest or identifier or a part of what
-the patterns report.
+token is reported, unless it is a known digest or identifier, holds digits and
+separators alone, or is a part of what the patterns report.  A run that groups of
+letters and groups of digits make up, as in paths, names and dates, is judged by
+its letter groups: by each long one, and by all but the shortest together.
 """
 
 from __future__ import annotations
@@ -33,8 +35,12 @@ CHARS_PER_TOKEN = 1.9
 DIGESTS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"[0-9A-Fa-f]+")
-# runs with a path or name of words: every part between separators is all letters or all digits
+# grouped runs: every part between separators is all letters or all digits
 WORDS = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))+[+/_=-]*")
+LETTERS = re.compile(r"[A-Za-z]+")
+# a letter group is judged alone from this length, and with the others from these lengths (each, and in all)
+LONG_GROUP = 12
+LEAST_GROUP, LEAST_GROUPS = 4, 16
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -52,16 +58,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 
 
+def _dense(run: str, encoder) -> bool:
+    if not WORDS.fullmatch(run):
+        return len(run) <= CHARS_PER_TOKEN * encoder.count(run)
+    groups = [(len(g), encoder.count(g)) for g in LETTERS.findall(run) if len(g) >= LEAST_GROUP]
+    if any(size >= LONG_GROUP and size <= CHARS_PER_TOKEN * n for size, n in groups):
+        return True
+    size, n = sum(g[0] for g in groups), sum(g[1] for g in groups)
+    return size >= LEAST_GROUPS and size <= CHARS_PER_TOKEN * n
+
+
 def dense_spans(text: str, base: list[tuple[int, int, int]], encoder) -> list[tuple[int, int, int]]:
     """Runs with few characters per token that no base span overlaps."""
     found = []
     for m in RUN.finditer(text):
         run = m[0]
-        if run.isalpha() or run.isdigit() or any(start < m.end() and m.start() < end for start, _, end in base):
+        if run.isdigit() or any(start < m.end() and m.start() < end for start, _, end in base):
             continue
-        if UUID.fullmatch(run) or WORDS.fullmatch(run) or len(run) in DIGESTS and DIGEST.fullmatch(run):
+        if UUID.fullmatch(run) or len(run) in DIGESTS and DIGEST.fullmatch(run):
             continue
-        if len(run) <= CHARS_PER_TOKEN * encoder.count(run):
+        if _dense(run, encoder):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -144,6 +144,24 @@ def test_known_digests_are_no_secrets():
     assert len(secret_scan.dense_spans("id k9Xv2LqPz7RtYw3NbMc8 end", [], encoder)) == 1
 
 
+def test_keys_of_letters_or_of_groups():
+    encoder, rnd = tokens.default_encoder(), random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def share(keys):
+        return sum(secret_scan.dense_spans(f"id {k} end", [], encoder) == [(3, 3, 3 + len(k))] for k in keys) / len(keys)
+
+    def key(n, of=letters):
+        return "".join(rnd.choice(of) for _ in range(n))
+
+    assert share([key(rnd.randint(20, 40)) for _ in range(500)]) > 0.99
+    assert share([key(rnd.randint(20, 40), letters[26:]) for _ in range(500)]) > 0.9
+    assert share([f"prefix_{key(20)}" for _ in range(500)]) > 0.99
+    assert share(["-".join(key(5, letters[:26]) for _ in range(5)) for _ in range(500)]) > 0.9
+    words = ("internationalization_of_configuration", "usr/share/doc/a/b/c/d/e/f", "get_user_by_id_or_none", "Donaudampfschifffahrtsgesellschaft", "--------------------", "a-b-c-d-e-f-g-h-i-j-k-l", "12345678901234567890")
+    assert share(words) == 0
+
+
 def test_redaction(spark):
     text = 'x password = "hunter22x" y token: abcdefgh'
     docs = spark.createDataFrame([(text,), ("clean",), (None,)], "text string").withColumn("found", secret_scan.secret_spans("text"))
