@@ -4,7 +4,9 @@ References are histograms over all documents of a language: how often each class
 of characters occurs, and how often each of the most common words does.  A
 document is compared with every language and keeps its smallest Jensen-Shannon
 distances (base 2, 0 to 1).  Short texts have noisy histograms, so each
-distance counts only from a minimum length.
+distance counts only from a minimum length, and the limit of the word distance is
+that of true samples of the language: it falls with the number of words, and lies
+below the distance of a text without any common word wherever the two can be told apart.
 """
 
 from __future__ import annotations
@@ -29,9 +31,15 @@ COMMON_WORDS = 100
 LEAST_CHARS = 200
 LEAST_PROSE_WORDS = 50
 MOST_CHAR_DISTANCE = 0.32
-# the word histogram of n words is noisy by about the root of 1 / n
+# no limit of the word distance is below this: true texts differ by subject
 MOST_WORD_DISTANCE = 0.30
-WORD_NOISE = 2.2
+# so many standard deviations above the mean distance of samples of the language, drawn for these lengths
+DEVIATIONS = 4
+SAMPLES = 2000
+LENGTHS = (20, 30, 40, 50, 60, 80, 100, 130, 200, 400, 1000, 4000)
+# and just below the distance of a text that has none of the common words, where so few of the samples lie beyond that
+NO_COMMON_WORD = 0.999
+LOST_SAMPLES = 0.02
 
 CLASSES = ("lower", "upper", "digit", "space", "stop", "other ASCII", "foreign letter", "foreign other")
 _PROSE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -123,6 +131,19 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1))
 
 
+def word_limits(freq: np.ndarray) -> np.ndarray:
+    """Limit of the word distance to the reference ``freq`` for each of ``LENGTHS``."""
+    draws, share = np.random.default_rng(5), freq / freq.sum()
+    none = np.zeros((1, len(freq)))
+    none[0, -1] = 1
+    most, limits = NO_COMMON_WORD * js_distance(none, freq)[0], []
+    for n in LENGTHS:
+        found = js_distance(draws.multinomial(n, share, SAMPLES).astype(float), freq)
+        limit = max(MOST_WORD_DISTANCE, found.mean() + DEVIATIONS * found.std())
+        limits.append(min(limit, most) if most >= MOST_WORD_DISTANCE and (found > most).mean() <= LOST_SAMPLES else limit)
+    return np.array(limits)
+
+
 class Judge:
     """Distances of texts to their nearest language."""
 
@@ -138,21 +159,27 @@ class Judge:
             keys = np.array([k for k, _ in common], np.int64)
             n = np.array([n for _, n in common], float)
             rest = max(0, sum(n for _, kind, _, n in own if kind == "all") - n.sum())
-            self.langs.append((chars, keys, np.append(n, rest)))
+            freq = np.append(n, rest)
+            self.langs.append((chars, keys, freq, word_limits(freq) if len(keys) else None))
 
-    def distances(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def distances(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Character distance, word distance, and whether the words are beyond the limit of every language."""
         owner, prints = prose_words(texts)
         prints = prints.view(np.int64)
         chars = class_counts(texts)
-        best_c, best_w = np.ones(len(texts)), np.ones(len(texts))
-        for ref, keys, freq in self.langs:
+        best_c, best_w, far = np.ones(len(texts)), np.ones(len(texts)), np.ones(len(texts), bool)
+        n_words = np.bincount(owner, minlength=len(texts))
+        for ref, keys, freq, limits in self.langs:
             best_c = np.minimum(best_c, js_distance(chars, ref))
             if len(keys):
                 at = np.searchsorted(keys, prints)
                 at[(at == len(keys)) | (keys[np.minimum(at, len(keys) - 1)] != prints)] = len(keys)
                 counts = np.bincount(owner * len(freq) + at, minlength=len(texts) * len(freq)).reshape(len(texts), len(freq))
-                best_w = np.minimum(best_w, js_distance(counts, freq))
-        return best_c, best_w
+                found = js_distance(counts, freq)
+                best_w = np.minimum(best_w, found)
+                # straight in the root of 1 / n, as the noise is
+                far &= found > np.interp(-1 / np.sqrt(np.maximum(n_words, 1)), -1 / np.sqrt(LENGTHS), limits)
+        return best_c, best_w, far
 
 
 def base_counts(texts: list[bytes]) -> np.ndarray:
@@ -216,18 +243,19 @@ def judge(docs: DataFrame, rows: list[tuple[str, str, int, int]]) -> DataFrame:
     its minimum length, or where no reference could be learned.
     """
 
+    own = Judge(rows)
+
     def check(batches):
-        own = Judge(rows)
         for batch in batches:
             texts = words.utf8(batch.column(1))
             for first, end in words.runs(texts):
                 part = texts[first:end]
                 base = base_counts(part)
-                chars, common = own.distances(part)
+                chars, common, far = own.distances(part)
                 failed = (base[:, 0] < LEAST_WORDS) | (100 * base[:, 4] > MOST_REPEATED * base[:, 0])
                 no_chars = (base[:, 1] < LEAST_CHARS) | (not own.langs)
                 no_words = (base[:, 0] < LEAST_PROSE_WORDS) | (not own.langs)
-                odd = (~no_chars & (chars > MOST_CHAR_DISTANCE)) | (~no_words & (common > MOST_WORD_DISTANCE + WORD_NOISE / np.sqrt(np.maximum(base[:, 0], 1))))
+                odd = (~no_chars & (chars > MOST_CHAR_DISTANCE)) | (~no_words & far)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, end - first), *(pa.array(base[:, i]) for i in range(5)),
                      pa.array(chars, mask=no_chars), pa.array(common, mask=no_words), pa.array(failed), pa.array(~failed & ~odd)],

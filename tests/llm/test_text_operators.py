@@ -113,6 +113,31 @@ def test_quality_tells_symbols_from_prose(spark, documents):
     assert {r.doc_id: r.kept for r in quality.judge(docs, rules).collect()} == {1: True, 2: False}
 
 
+def test_quality_words_count_from_the_least_length(spark, documents):
+    """A text without common words fails, a sample of the language's own words doesn't."""
+    import numpy as np
+
+    rules, rnd = quality.references(documents), random.Random(7)
+    words = [w for (t,) in documents.where("lang = 'en' and length(text) > 2000 and text not like '%$%'").select("text").limit(30).collect() for w in t.split()]
+    texts = []
+    for n in (quality.LEAST_PROSE_WORDS, 60, 80, 130, 400):
+        texts += [(n, " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(9)) for _ in range(n))) for _ in range(20)]
+        texts += [(-n, " ".join(rnd.choice(words) for _ in range(n))) for _ in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = quality.judge(docs, rules).collect()
+    assert not any(r.kept for r in rows if r.doc_id > 0)
+    assert np.mean([r.kept for r in rows if r.doc_id < 0]) > 0.95
+
+
+def test_quality_without_common_words_in_the_reference():
+    """A language of rare words alone, or of common words alone, has limits too."""
+    import numpy as np
+
+    for freq in (np.array([1.0, 1e6]), np.array([5.0, 3.0, 0.0]), np.array([40.0, 60.0])):
+        limits = quality.word_limits(freq)
+        assert np.isfinite(limits).all() and (limits >= quality.MOST_WORD_DISTANCE).all()
+
+
 def test_js_distance():
     import numpy as np
 
