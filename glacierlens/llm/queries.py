@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.llm import ann, chat, edit_counts, langid, mixing, neardup, packing, quality, recompress, secret_scan
+from glacierlens.llm import ann, chat, edit_counts, langid, mixing, neardup, packing, prefix_trie, quality, recompress, secret_scan
 from glacierlens.llm.tables import fresh, table
 
 
@@ -115,9 +115,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    trie = prefix_trie.build(*prefix_trie.rebuilt(prefix_trie.numbered(table(spark, sf_dir, "conversations"))))
+    nodes = trie.nodes.join(prefix_trie.digests(trie.ends), "node", "left")
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_perspective_rotation": chat.SQL}
+    return {"op2_perspective_rotation": chat.SQL, "op13_prefix_trie": prefix_trie.SQL}
