@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glacierlens.llm import ann, chat, edit_counts, langid, mixing, neardup, packing, prefix_trie, quality, recompress, secret_scan
+from glacierlens.llm import align, ann, chat, edit_counts, langid, mixing, neardup, packing, prefix_trie, quality, recompress, secret_scan, toxicity
 from glacierlens.llm.tables import fresh, table
 
 
@@ -115,6 +115,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of every document."""
+    return align.scored(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of all rebuilt conversations."""
     trie = prefix_trie.build(*prefix_trie.rebuilt(prefix_trie.numbered(table(spark, sf_dir, "conversations"))))
