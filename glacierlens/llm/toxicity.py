@@ -443,7 +443,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     rest = rows.where("part = 1")
     weights, cues = _weigh(rest, terms)
     model = Model(terms, weights, cues, None, [0.0] * FEATURES, [1.0] * FEATURES, 0.0)
-    found = _features(rest, model, "toxic").collect()
+    # in an order of their own, so that equal input gives equal sums
+    found = sorted(_features(rest, model, "toxic").collect(), key=lambda r: (r["toxic"], r["features"]))
     y = np.array([r["toxic"] for r in found], float)
     model.share = float(y.mean()) if len(y) else 0.0
     if 0 < model.share < 1:

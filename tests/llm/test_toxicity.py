@@ -85,17 +85,17 @@ def test_quotations_count_less(spark):
     docs, labels = [], []
     for i in range(3000):
         toxic = i % 3 == 0
-        middle = "you are such a dreckhead really" if toxic else f'she {rnd.choice(["wrote", "said"])} "a dreckhead" in the report' if i % 3 == 1 else ""
+        middle = "dreckhead" if toxic else f'she {rnd.choice(["wrote", "said"])} "a dreckhead" in {prose(2)}' if i % 9 == 1 else ""
         docs.append((i, f"{prose(20)} {middle} {prose(20)}"))
         labels.append((i, 1, int(toxic)))
     docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.learn(docs, labels)
     assert "dreckhead" in model.terms
-    texts = [(1, "you are such a drekhead really"), (2, 'he said "a dreckhead" in the paper'), (3, prose(9)), (4, "you are such a dreckhead really")]
+    texts = [(1, f"{prose(9)} drekhead {prose(9)}"), (2, f'{prose(9)} she said "a dreckhead" in {prose(9)}'), (3, prose(20)), (4, f"{prose(9)} dreckhead {prose(9)}")]
     score = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
     assert score[4] > 0.5 > score[2] and score[3] < 0.1
     found = {(r.doc_id, r.edits): r for r in toxicity.spans(spark.createDataFrame(texts, "doc_id long, text string"), model).where("term = 'dreckhead'").collect()}
-    assert found[1, 1].start == 15 and found[2, 0].context < 0.4 < found[4, 0].context
+    assert (1, 1) in found and found[2, 0].context < 0.5 < 0.8 < found[4, 0].context
 
 
 def test_held_out_accuracy(spark):
