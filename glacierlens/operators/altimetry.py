@@ -49,19 +49,38 @@ def sample_se(col: str) -> Column:
 HIERARCHIES = ("all", "r15", "r22", "tp", "cell")
 
 
+# what a region set is named by; the finest key of all sets
+REGIONS = {"all": None, "r15": "region15", "r22": "region22", "tp": "tp_flag", "cell": "cell"}
+
+
+def _cell() -> Column:
+    return (F.floor("lon") * 1000 + F.floor("lat")).cast("int")
+
+
+def with_cell(df: DataFrame) -> DataFrame:
+    """Rows with the number of their one-degree cell."""
+    return df.withColumn("cell", _cell())
+
+
+def finest(wanted: Sequence[str] = HIERARCHIES) -> list[str]:
+    """Columns that tell a row's region in all wanted sets."""
+    return [REGIONS[h] for h in wanted if REGIONS[h]]
+
+
 def hierarchies(df: DataFrame, wanted: Sequence[str] = HIERARCHIES) -> DataFrame:
     """Every row once per wanted region set it belongs to (all, 15, 22, plateau, cell).
 
-    One explode and one later groupBy; rows must be filtered before.
+    One explode and one later groupBy; rows must be filtered before.  Partial
+    aggregates with the columns of :func:`with_cell` may be multiplied instead of rows.
     """
     region = {
-        "all": F.lit(0),
-        "r15": F.col("region15").cast("int"),
-        "r22": F.col("region22").cast("int"),
-        "tp": F.when(F.col("tp_flag") == 1, F.lit(0)),
-        "cell": (F.floor("lon") * 1000 + F.floor("lat")).cast("int"),
+        "all": lambda: F.lit(0),
+        "r15": lambda: F.col("region15").cast("int"),
+        "r22": lambda: F.col("region22").cast("int"),
+        "tp": lambda: F.when(F.col("tp_flag") == 1, F.lit(0)),
+        "cell": lambda: F.col("cell") if "cell" in df.columns else _cell(),
     }
-    tags = F.array(*[F.struct(F.lit(h).alias("hier"), region[h].alias("region_id")) for h in wanted])
+    tags = F.array(*[F.struct(F.lit(h).alias("hier"), region[h]().alias("region_id")) for h in wanted])
     kept = F.filter(tags, lambda t: t["region_id"].isNotNull())
     return df.withColumn("_t", F.explode(kept)).select("*", "_t.hier", "_t.region_id").drop("_t")
 
@@ -120,9 +139,8 @@ def percentile_bounds(df: DataFrame, keys: Sequence[str], p: float = 1.0) -> Dat
     )
 
 
-def band_stats(
+def in_bands(
     df: DataFrame,
-    keys: Sequence[str],
     cut: float = 120.0,
     max_slope: float = 40.0,
     strict_slope: bool = False,
@@ -131,13 +149,29 @@ def band_stats(
     low: float = 2200.0,
     high: float = 8800.0,
 ) -> DataFrame:
-    """mean, n, se per elevation band [c-w/2, c+w/2) and key."""
+    """Rows that count in elevation bands, with ``band_center``."""
     slope = F.col("slope_deg") < max_slope if strict_slope else F.col("slope_deg") <= max_slope
     ok = slope & (F.abs("dh") < cut) & (F.col("elev_ref") >= low) & (F.col("elev_ref") < high)
     if flag:
         ok = ok & (F.col(flag) == 0)
     center = (F.floor((F.col("elev_ref") - low) / width) * width + low + width / 2).cast("int")
-    return df.where(ok).groupBy(center.alias("band_center"), *keys).agg(
+    return df.where(ok).withColumn("band_center", center)
+
+
+def band_stats(
+    df: DataFrame,
+    keys: Sequence[str],
+    cut: float = 120.0,
+    max_slope: float = 40.0,
+    strict_slope: bool = False,
+    flag: str | None = "quality_flag",
+    width: float = 100.0,
+    low: float = 2200.0,
+    high: float = 8800.0,
+) -> DataFrame:
+    """mean, n, se per elevation band [c-w/2, c+w/2) and key."""
+    rows = in_bands(df, cut, max_slope, strict_slope, flag, width, low, high)
+    return rows.groupBy("band_center", *keys).agg(
         F.avg("dh").alias("mean"), F.count("*").alias("n"), sample_se("dh").alias("se")
     )
 

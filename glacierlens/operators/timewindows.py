@@ -131,3 +131,21 @@ def window_join(points: DataFrame, win: DataFrame, ref: str, day: str = "obs_day
     tagged = points.withColumn("_m", month_index(F.date_add(ref_date, F.col(day))))
     hit = (F.col(day) >= F.col("start_day")) & (F.col(day) < F.col("end_day"))
     return tagged.join(by_month, "_m").where(hit).drop("_m")
+
+
+def month_join(parts: DataFrame, win: DataFrame, ref: str, month: str = "month") -> DataFrame:
+    """Partial aggregates of calendar months to every window that holds the month.
+
+    For windows that begin and end with a month; others need the days of their rows.
+    """
+    ref_date = F.lit(ref).cast("date")
+    first, end = F.date_add(ref_date, F.col("start_day")), F.date_add(ref_date, F.col("end_day"))
+    if not win.where((F.dayofmonth(first) != 1) | (F.dayofmonth(end) != 1)).isEmpty():
+        raise ValueError("windows must begin and end with a month")
+    months = F.sequence(month_index(first), month_index(F.date_sub(end, 1)))
+    return parts.join(sized_broadcast(win.withColumn(month, F.explode(months))), month)
+
+
+def with_month(points: DataFrame, ref: str, day: str = "obs_day", month: str = "month") -> DataFrame:
+    """Points with the number of their calendar month."""
+    return points.withColumn(month, month_index(F.date_add(F.lit(ref).cast("date"), F.col(day))))

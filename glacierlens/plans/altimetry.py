@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glacierlens.operators import altimetry as alt
+from glacierlens.operators import lattice
 from glacierlens.operators import timewindows as tw
 from glacierlens.plans.fixtures import END, REF_DATE, START
 from glacierlens.plans.registry import query, rounded
@@ -13,16 +14,17 @@ from glacierlens.plans.sqltext import R, mid, robust, se, windowed
 SPAN = (START, END, REF_DATE)
 
 
-def _cell(df):
-    return df.withColumn("cell", (F.floor("lon") * 1000 + F.floor("lat")).cast("int"))
+def _windows(v, *kinds):
+    win = tw.annual_windows(v.spark, *SPAN)
+    win = win.where(F.col("win_kind").isin(*kinds)) if kinds else win
+    return lambda df: tw.month_join(df, win, REF_DATE)
 
 
 def flagship(v):
     """Annual, multi-year robust statistics for all region hierarchies."""
-    rows = alt.qc_height_change(v.fp, 200.0)
-    win = tw.annual_windows(v.spark, *SPAN)
-    tagged = tw.window_join(alt.hierarchies(rows.where(alt.PHOTON.base())), win, REF_DATE)
-    return rounded(alt.robust_stats(tagged, ["hier", "region_id", "win_kind", "win_id"], alt.PHOTON))
+    rows = alt.with_cell(tw.with_month(alt.qc_height_change(v.fp, 200.0), REF_DATE))
+    levels = [(alt.hierarchies, ["hier", "region_id", "month"]), (_windows(v), ["hier", "region_id", "win_kind", "win_id"])]
+    return rounded(lattice.robust_stats(rows, ["month", *alt.finest()], levels, alt.PHOTON))
 
 
 query(
@@ -44,7 +46,7 @@ def _(v):
 
 @query("A03_robust_stats_cell_i1", robust("cfp", "cell", 100, 50, 10, False))
 def _(v):
-    return rounded(alt.robust_stats(_cell(v.fp), ["cell"], alt.LASER_CELL))
+    return rounded(alt.robust_stats(alt.with_cell(v.fp), ["cell"], alt.LASER_CELL))
 
 
 @query("A04_robust_stats_c2", robust("fp", "region15, tp_flag", 150, 75, 30, False, flag=False))
@@ -69,8 +71,8 @@ def _(v):
 
 @query("A06_multi_hierarchy", robust("hfp", "hier, region_id", 150, 75, 101, True))
 def _(v):
-    tagged = alt.hierarchies(v.fp.where(alt.PHOTON.base()))
-    return rounded(alt.robust_stats(tagged, ["hier", "region_id"], alt.PHOTON))
+    levels = [(alt.hierarchies, ["hier", "region_id"])]
+    return rounded(lattice.robust_stats(alt.with_cell(v.fp), alt.finest(), levels, alt.PHOTON))
 
 
 @query(
@@ -142,9 +144,9 @@ def _(v):
     ).replace("select m.cell,", "select m.cell, m.cell // 1000 + 0.5e0 as center_lon, m.cell % 1000 + 0.5e0 as center_lat,"),
 )
 def _(v):
-    win = tw.annual_windows(v.spark, *SPAN).where(F.col("win_kind").isin("y1", "y3", "all"))
-    rows = tw.window_join(_cell(v.fp.where(alt.PHOTON.base())), win, REF_DATE)
-    out = alt.robust_stats(rows, ["cell", "win_kind", "win_id"], alt.PHOTON_CELL)
+    rows = alt.with_cell(tw.with_month(v.fp, REF_DATE))
+    levels = [(_windows(v, "y1", "y3", "all"), ["cell", "win_kind", "win_id"])]
+    out = lattice.robust_stats(rows, ["month", "cell"], levels, alt.PHOTON_CELL)
     return rounded(
         out.withColumn("center_lon", F.floor(F.col("cell") / 1000) + 0.5)
         .withColumn("center_lat", F.col("cell") % 1000 + 0.5)
@@ -159,9 +161,10 @@ group by 1, 2, 3, 4"""
 
 
 def _bands(v, wanted=alt.HIERARCHIES):
-    win = tw.annual_windows(v.spark, *SPAN).where(F.col("win_kind") == "y1")
-    rows = tw.window_join(alt.hierarchies(v.fp.where(alt.PHOTON.base()), wanted), win, REF_DATE)
-    return alt.band_stats(rows, ["hier", "region_id", "win_id"], cut=120.0)
+    rows = alt.in_bands(alt.with_cell(tw.with_month(v.fp, REF_DATE)), cut=120.0)
+    year = _windows(v, "y1")
+    levels = [(lambda df: alt.hierarchies(year(df), wanted), ["hier", "region_id", "win_id", "band_center"])]
+    return lattice.band_stats(rows, ["month", "band_center", *alt.finest(wanted)], levels)
 
 
 @query(
