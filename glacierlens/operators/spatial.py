@@ -8,99 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glacierlens.functions.scalars import haversine
+from glacierlens.operators.tessellation import lookup, outline_edges, tessellate
 from glacierlens.session import shared_folder
 
 # a polygon index is broadcast up to this many edges (32 bytes each)
 BROADCAST_EDGES = 2_000_000
-# edges listed in one index row; a cell with more takes several rows
-ROW_EDGES = 50_000
+# shares below this are rounding
+COVER_DUST = 1e-12
 # grid points per cell when a nearest-point search starts
 GRID_OCCUPANCY = 32
 
 
-def polygon_index(polygons: DataFrame, size: float = 1.0) -> DataFrame:
-    """Rows of a grid cell with the polygons whose box touches it.
-
-    ``polygons``: hier, id, ring, vertex, x, y with closed rings.  Per polygon
-    and cell only the edges are kept that a ray to the east from a point of the
-    cell can meet (same latitude row, not wholly to the west), so the point
-    test costs the local edges.  A cell with many outlines is split into parts
-    of about ``ROW_EDGES`` edges, so no row grows with a crowded cell.
-    """
-    s = float(size)
-    ring = Window.partitionBy("hier", "id", "ring").orderBy("vertex")
-    edges = polygons.select(
-        "hier", "id", F.col("x").alias("x1"), F.col("y").alias("y1"),
-        F.lead("x").over(ring).alias("x2"), F.lead("y").over(ring).alias("y2"),
-    ).where(F.col("x2").isNotNull())
-    west = polygons.groupBy("hier", "id").agg(F.floor(F.min("x") / s).alias("_w"))
-    placed = edges.join(west, ["hier", "id"])
-    placed = placed.withColumn(
-        "_cy",
-        F.explode(F.sequence(F.floor(F.least("y1", "y2") / s), F.floor(F.greatest("y1", "y2") / s))),
-    ).withColumn("_cx", F.explode(F.sequence(F.col("_w"), F.floor(F.greatest("x1", "x2") / s))))
-    per_poly = placed.groupBy("_cx", "_cy", "hier", "id").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")
-    )
-    size_before = F.sum(F.size("edges")).over(Window.partitionBy("_cx", "_cy").orderBy("hier", "id")) - F.size("edges")
-    parts = per_poly.withColumn("_part", F.floor(size_before / ROW_EDGES).cast("int"))
-    return parts.groupBy("_cx", "_cy", "_part").agg(
-        F.collect_list(F.struct("hier", "id", "edges")).alias("_polys"), F.sum(F.size("edges")).alias("_n")
-    )
-
-
-def _inside(edges: Column, px: Column, py: Column) -> Column:
-    """Ray crossing parity; a point on an edge counts as inside."""
-
-    def crossing(e):
-        straddles = (e["y1"] > py) != (e["y2"] > py)
-        at = F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
-        return F.when(straddles & (px < at), 1).otherwise(0)
-
-    def on_edge(e):
-        cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
-        return (
-            (cross == 0)
-            & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
-
-    count = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crossing(e))
-    return (count % 2 == 1) | F.exists(edges, on_edge)
-
-
-def placed_index(polygons: DataFrame, size: float = 1.0) -> tuple[DataFrame, int, int]:
-    """The written polygon index, its edges and its last part."""
-    shared_folder(polygons.sparkSession)
-    index = polygon_index(polygons, size).checkpoint()
-    edges, last = index.agg(F.sum("_n"), F.max("_part")).first()
-    return index, edges or 0, last or 0
+def placed_index(polygons: DataFrame, size: float = 1.0) -> tuple:
+    """The tessellated polygon index, for several calls of :func:`containing` with one ``size``."""
+    return tessellate(polygons, size)
 
 
 def containing(points: DataFrame, polygons: DataFrame, lon: str = "lon", lat: str = "lat", size: float = 1.0, index=None) -> DataFrame:
     """Points with ``_in``, the array of (hier, id) of all polygons around them.
 
-    A map-side lookup by cell when the polygon index is small enough to
-    broadcast; otherwise a join on the cell, whose hot cells AQE splits.  Each
-    part of the index is looked up in turn and adds its hits.  ``index`` is a
-    :func:`placed_index` of the same size, where several calls share it.
+    One join with the leaves of the tessellation: a map-side lookup when its edges
+    are few enough to broadcast, otherwise a join on the leaf, whose hot cells AQE
+    splits.  ``index`` is a :func:`placed_index` of the same size, where several
+    calls share it.
     """
-    s = float(size)
-    index, edges, last = index or placed_index(polygons, size)
-    px, py = F.col(lon), F.col(lat)
-    kind = "array<struct<hier:string,id:bigint>>"
-    out = points.withColumn("_cx", F.floor(px / s)).withColumn("_cy", F.floor(py / s)).withColumn("_in", F.array().cast(kind))
-    hits = F.transform(
-        F.filter("_polys", lambda p: _inside(p["edges"], px, py)), lambda p: F.struct(p["hier"].alias("hier"), p["id"].alias("id"))
-    ).cast(kind)
-    for part in range(last + 1):
-        side = index.where(F.col("_part") == part).drop("_n", "_part")
-        if edges <= BROADCAST_EDGES:
-            side = F.broadcast(side)
-        out = out.join(side, ["_cx", "_cy"], "left").withColumn(
-            "_in", F.concat("_in", F.coalesce(hits, F.array().cast(kind)))
-        ).drop("_polys")
-    return out.drop("_cx", "_cy")
+    return lookup(points, index or placed_index(polygons, size), lon, lat, size, "_in", BROADCAST_EDGES)
 
 
 def tag_regions(points: DataFrame, polygons: DataFrame, hiers: Sequence[str], **kw) -> DataFrame:
@@ -197,19 +129,52 @@ def mask_split(points: DataFrame, mask: DataFrame, affine: Affine) -> DataFrame:
     return joined.withColumn("on_glacier", F.coalesce(F.col("_m"), F.lit(False))).drop("_m")
 
 
-def coverage_weights(pixel: DataFrame, polygons: DataFrame, affine: Affine, k: int = 2) -> DataFrame:
-    """Share of each pixel inside each polygon, from k x k sub-points.
+def coverage_weights(pixel: DataFrame, polygons: DataFrame, affine: Affine) -> DataFrame:
+    """``id, r, c, w``: the exact share of each pixel that lies inside each polygon.
 
-    An approximation of the exact coverage; the error falls with k.
+    Edges are cut at the lines and columns of the raster.  A piece covers the part
+    of its pixel to the right of it, and all pixels of the line behind: signed by
+    its direction, the sums along a line are the shares.  Pixels between two cut
+    ones have one share and are filled in.  Holes run against their outer ring, as
+    in the usual file formats, so they take away what they hold.
     """
-    steps = F.array(*[F.lit((i + 0.5) / k) for i in range(k)])
-    subs = pixel.select("r", "c").withColumn("_fx", F.explode(steps)).withColumn("_fy", F.explode(steps)).select(
-        "r", "c",
-        (F.lit(affine.lon0) + (F.col("c") + F.col("_fx")) * affine.dx).alias("lon"),
-        (F.lit(affine.lat0) - (F.col("r") + F.col("_fy")) * affine.dy).alias("lat"),
-    )
-    found = containing(subs, polygons).select("r", "c", F.explode("_in.id").alias("id"))
-    return found.groupBy("id", "r", "c").agg((F.count("*") / float(k * k)).alias("w"))
+    box = pixel.agg(F.struct((F.max("r") + 1).alias("r"), (F.max("c") + 1).alias("c"))).scalar()
+    to_x, to_y = lambda x: (F.col(x) - affine.lon0) / affine.dx, lambda y: (affine.lat0 - F.col(y)) / affine.dy
+    edges = outline_edges(polygons).select("id", to_x("x1").alias("x1"), to_y("y1").alias("y1"), to_x("x2").alias("x2"), to_y("y2").alias("y2"))
+    slope = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    r0, r1 = F.greatest(F.floor(low), F.lit(0).cast("long")), F.least(F.ceil(high) - 1, box["r"] - 1)
+    lines = edges.where((F.col("y1") != F.col("y2")) & (r1 >= r0)).withColumn("r", F.explode(F.sequence(r0, r1)))
+
+    def cut(v, at):
+        return F.least(F.greatest(v, at), at + 1)
+
+    # the edge within the line, in its direction
+    lines = lines.withColumns({"ya": cut(F.col("y1"), F.col("r")), "yb": cut(F.col("y2"), F.col("r"))})
+    x_at = lambda y: F.col("x1") + (F.col(y) - F.col("y1")) * slope[0] / slope[1]
+    lines = lines.select("id", "r", x_at("ya").alias("xa"), "ya", x_at("yb").alias("xb"), "yb")
+    # what lies to the left of the raster covers its lines from the first pixel on
+    left, right = F.least("xa", "xb"), F.greatest("xa", "xb")
+    c0 = F.greatest(F.floor(left), F.lit(-1).cast("long"))
+    c1 = F.greatest(F.least(F.ceil(right) - 1, box["c"] - 1), c0)
+    pieces = lines.where(left < box["c"]).withColumn("c", F.explode(F.sequence(c0, c1)))
+    first, last = F.col("c") == c0, F.col("c") == c1
+    # the outermost columns take all that goes beyond them on the left
+    near = F.when(first, left).otherwise(F.col("c").cast("double"))
+    far = F.when(last & (c1 < box["c"] - 1), right).otherwise(F.least(right, F.col("c") + 1.0))
+    share = F.when(right > left, (far - near) / (right - left)).otherwise(F.lit(1.0))
+    dy = (F.col("yb") - F.col("ya")) * share
+    middle = F.greatest((near + far) / 2, F.col("c").cast("double"))
+    pieces = pieces.select("id", "r", "c", dy.alias("cover"), (dy * (F.col("c") + 1 - middle)).alias("area"))
+    sums = pieces.groupBy("id", "r", "c").agg(F.sum("cover").alias("cover"), F.sum("area").alias("area"))
+    # a line has a row for each pixel that an edge cuts
+    line = Window.partitionBy("id", "r").orderBy("c")
+    sums = sums.withColumns({"after": F.sum("cover").over(line), "next": F.coalesce(F.lead("c").over(line), F.lit(0).cast("long") + box["c"])})
+    here = F.struct(F.col("c").alias("c"), (F.col("after") - F.col("cover") + F.col("area")).alias("w"))
+    full = (F.abs("after") > COVER_DUST) & (F.col("next") > F.col("c") + 1)
+    between = F.transform(F.when(full, F.sequence(F.col("c") + 1, F.col("next") - 1)).otherwise(F.array().cast("array<bigint>")), lambda c: F.struct(c.alias("c"), F.col("after").alias("w")))
+    cells = sums.select("id", "r", F.explode(F.concat(F.array(here), between)).alias("p")).select("id", "r", "p.c", F.least(F.abs("p.w"), F.lit(1.0)).alias("w"))
+    return cells.where((F.col("c") >= 0) & (F.col("w") > COVER_DUST)).select("id", "r", F.col("c").cast("int").alias("c"), "w")
 
 
 def zonal_mean(features: DataFrame, weights: DataFrame, pixel: DataFrame, bands: Sequence[str] = ("value",),

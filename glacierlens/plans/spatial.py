@@ -290,14 +290,13 @@ def _(v):
     return rounded(out.groupBy("on_glacier").agg(F.count("*").alias("n"), F.avg("dh").alias("dh")))
 
 
-@query("J09_zonal_mean", f"""with sub as (select r, c, fx, fy, 66e0 + (c + fx) * 0.625e0 as lon, 47e0 - (r + fy) * 0.044e0 as lat
-  from px, (values (0.25e0), (0.75e0)) a(fx), (values (0.25e0), (0.75e0)) b(fy)),
-hit as {inside('s.lon', 's.lat', 'sub s', 's.r, s.c, s.fx, s.fy')},
-w as (select id, r, c, count(*) / 4e0 as w from hit group by 1, 2, 3),
-z as (select id, sum(w * value) / sum(w) as value from w join px using (r, c) group by 1)
+@query("J09_zonal_mean", f"""with box as (select id, min(x) as x1, max(x) as x2, min(y) as y1, max(y) as y2 from poly group by 1),
+side as (select id, r, c, value, least(x2, 66e0 + (c + 1) * 0.625e0) - greatest(x1, 66e0 + c * 0.625e0) as dx,
+  least(y2, 47e0 - r * 0.044e0) - greatest(y1, 47e0 - (r + 1) * 0.044e0) as dy from box, px),
+z as (select id, sum(dx * dy * value) / sum(dx * dy) as value from side where dx > 0 and dy > 0 group by 1)
 select n_nationkey as id, {R('z.value')} as value from nation left join z on n_nationkey = z.id""")
 def _(v):
-    weights = sp.coverage_weights(v.px, v.hpoly, GRID, 2)
+    weights = sp.coverage_weights(v.px, v.hpoly, GRID)
     return rounded(sp.zonal_mean(v.poly, weights, v.px))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from glacierlens.operators import altimetry as alt
 from glacierlens.operators import setops as so
 from glacierlens.operators import spatial as sp
+from glacierlens.operators import tessellation
 from glacierlens.operators import timewindows as tw
 from glacierlens.plans.fixtures import Views
 
@@ -78,7 +79,7 @@ def test_highest_id_wins_and_edges_count(spark):
 
 
 def test_hole_and_crowded_cell(spark, monkeypatch):
-    monkeypatch.setattr(sp, "ROW_EDGES", 8)
+    monkeypatch.setattr(tessellation, "LEAF_EDGES", 8)
     outer, hole = square(1, 0, 0, 10), [(h, i, 1, k, x, y) for h, i, _, k, x, y in square(1, 4, 4, 2)]
     many = [r for i in range(2, 9) for r in square(i, 0, 0, 3)]
     poly = spark.createDataFrame(outer + hole + many, POLY)
