@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -35,9 +34,10 @@ class Side:
     """One tokenizer: ids of a text and the bytes that each id stands for."""
 
     def __init__(self, spelled: list[bytes], encode):
-        self.spelled, self.encode = spelled, encode
-        self.lengths = [len(x) for x in spelled]
-        self.decimal = [str(i) for i in range(len(spelled))]
+        self.size, self.encode = len(spelled), encode
+        self.lengths = np.array([len(x) for x in spelled])
+        self.spelled, self.decimal = np.empty(self.size, object), np.empty(self.size, object)
+        self.spelled[:], self.decimal[:] = spelled, [str(i) for i in range(self.size)]
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -87,28 +87,29 @@ def pieces(path: str) -> Side:
 class Aligned(NamedTuple):
     """Ids of both sides; group ``i`` has the ids from ``cuts[i]`` to ``cuts[i + 1]`` of each side."""
 
-    a: list[int]
-    b: list[int]
+    a: np.ndarray
+    b: np.ndarray
     cuts_a: list[int]
     cuts_b: list[int]
-    ends_a: list[int]
-    ends_b: list[int]
+    ends_a: np.ndarray
+    ends_b: np.ndarray
 
 
-NOTHING = Aligned([], [], [0], [0], [], [])
+_NONE = np.zeros(0, np.int64)
+NOTHING = Aligned(_NONE, _NONE, [0], [0], _NONE, _NONE)
 
 
 def align(text: str | None, left: Side, right: Side) -> Aligned:
     """Both tokenizations of a text and their groups; no ids where either doesn't spell the text's bytes."""
     if not text:
         return NOTHING
-    a, b = left.encode(text), right.encode(text)
+    a, b = np.array(left.encode(text), np.int64), np.array(right.encode(text), np.int64)
     raw = b" " + text.encode()
-    if b"".join(map(left.spelled.__getitem__, a)) != raw or b"".join(map(right.spelled.__getitem__, b)) != raw:
+    if b"".join(left.spelled[a].tolist()) != raw or b"".join(right.spelled[b].tolist()) != raw:
         return NOTHING
-    ends_a, ends_b = list(accumulate(map(left.lengths.__getitem__, a))), list(accumulate(map(right.lengths.__getitem__, b)))
-    at_a = dict(zip(ends_a, range(1, len(a) + 1)))
-    at_b = dict(zip(ends_b, range(1, len(b) + 1)))
+    ends_a, ends_b = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
+    at_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))
+    at_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1)))
     common = sorted(at_a.keys() & at_b.keys())
     return Aligned(a, b, [0, *map(at_a.__getitem__, common)], [0, *map(at_b.__getitem__, common)], ends_a, ends_b)
 
@@ -119,18 +120,23 @@ def links(found: Aligned) -> tuple[np.ndarray, np.ndarray]:
     Within a slice every end of either side closes one link: that of the two ids
     whose bytes lie before it.
     """
-    ends_a, ends_b = np.array(found.ends_a, np.int64), np.array(found.ends_b, np.int64)
-    ends = np.sort(np.concatenate([ends_a, ends_b]))
-    if len(ends):
-        ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])]
-    return np.array(found.a, np.int64)[np.searchsorted(ends_a, ends)], np.array(found.b, np.int64)[np.searchsorted(ends_b, ends)]
+    if not len(found.a):
+        return found.a, found.b
+    closes_a, closes_b = (np.zeros(found.ends_a[-1] + 1, bool) for _ in range(2))
+    closes_a[found.ends_a] = closes_b[found.ends_b] = True
+    ends = np.flatnonzero(closes_a | closes_b)
+    closes_a, closes_b = closes_a[ends], closes_b[ends]
+    return found.a[np.cumsum(closes_a) - closes_a], found.b[np.cumsum(closes_b) - closes_b]
 
 
 def spelled_groups(found: Aligned, left: Side, right: Side) -> str:
     """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides by group."""
-    a, b = list(map(left.decimal.__getitem__, found.a)), list(map(right.decimal.__getitem__, found.b))
-    cuts = zip(found.cuts_a, found.cuts_a[1:], found.cuts_b, found.cuts_b[1:])
-    return ";".join([f"{','.join(a[p:q])}|{','.join(b[r:s])}" for p, q, r, s in cuts])
+    a, b = left.decimal[found.a].tolist(), right.decimal[found.b].tolist()
+    out, p, r = [], 0, 0
+    for q, s in zip(found.cuts_a[1:], found.cuts_b[1:]):
+        out.append(f"{a[p]}|{b[r]}" if q - p == 1 == s - r else f"{','.join(a[p:q])}|{','.join(b[r:s])}")
+        p, r = q, s
+    return ";".join(out)
 
 
 def default_sides() -> tuple[Side, Side]:
@@ -167,7 +173,7 @@ def summaries(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         left, right = default_sides()
-        base = len(right.spelled)
+        base = right.size
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             first, rows, pairs, times, size = 0, [], [], [], 0
@@ -177,7 +183,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                     first, rows, pairs, times, size = i, [], [], [], 0
                 if i < batch.num_rows:
                     found = align(texts[i].as_py(), left, right)
-                    digest = hashlib.sha256(spelled_groups(found, left, right).encode()).hexdigest() if found.a else ""
+                    digest = hashlib.sha256(spelled_groups(found, left, right).encode()).hexdigest() if len(found.a) else ""
                     x, y = links(found)
                     distinct, n = np.unique(x * base + y, return_counts=True)
                     rows.append((len(found.a), len(found.b), len(found.cuts_a) - 1, len(x), digest))
@@ -218,7 +224,7 @@ def scored(docs: DataFrame) -> DataFrame:
     ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``; a repeated row counts and is
     returned again.  A text without ids has zeros and an empty digest.
     """
-    base = len(default_sides()[1].spelled)
+    base = default_sides()[1].size
     found = written(summaries(docs).withColumn("row", F.monotonically_increasing_id()), "aligned", compression="zstd")
     counts = written(pair_counts(found, base), "counts")
     few = counts.count() <= BROADCAST_PAIRS

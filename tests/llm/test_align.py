@@ -101,8 +101,8 @@ def test_any_text(libraries, text):
     found = align.align(text, left, right)
     groups, links = plain(text, libraries)
     cuts = zip(found.cuts_a, found.cuts_a[1:], found.cuts_b, found.cuts_b[1:])
-    assert [(found.a[p:q], found.b[r:s]) for p, q, r, s in cuts] == groups
-    assert list(zip(*map(list, align.links(found)))) == links
+    assert [(found.a[p:q].tolist(), found.b[r:s].tolist()) for p, q, r, s in cuts] == groups
+    assert list(zip(*(x.tolist() for x in align.links(found)))) == links
 
 
 def test_documents(spark, documents, libraries, small):
