@@ -3,7 +3,8 @@
 Ordinary words take few tokens for their length under a trained vocabulary;
 random strings take many.  A long run of key characters with few characters per
 token is reported, unless it is a known digest or identifier, holds digits and
-separators alone, or is a part of what the patterns report.  A run that groups of
+separators alone.  Of a run that the patterns report in part, what is left on
+either side is judged.  A run that groups of
 letters and groups of digits make up, as in paths, names and dates, is judged by
 its letter groups: by each long one, and by all but the shortest together.
 """
@@ -29,6 +30,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 # a run of key characters is a candidate from this length
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# beside a pattern's match the rest of a run is judged from this length
+BESIDE = 12
 # and reported up to this many characters per token
 CHARS_PER_TOKEN = 1.9
 # digest lengths in hex digits (MD5, SHA-1, SHA-2) and the form of a UUID
@@ -68,17 +71,29 @@ def _dense(run: str, encoder) -> bool:
     return size >= LEAST_GROUPS and size <= CHARS_PER_TOKEN * n
 
 
+def _parts(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of key characters, without what base spans cover; what is left beside one may be shorter."""
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        for start, _, stop in base:
+            if stop <= at or start >= end:
+                continue
+            if start - at >= BESIDE:
+                yield at, start
+            at = max(at, min(stop, end))
+        if end - at >= (BESIDE if at > m.start() else end - m.start()):
+            yield at, end
+
+
 def dense_spans(text: str, base: list[tuple[int, int, int]], encoder) -> list[tuple[int, int, int]]:
-    """Runs with few characters per token that no base span overlaps."""
+    """Runs with few characters per token, apart from what base spans cover."""
     found = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        if run.isdigit() or any(start < m.end() and m.start() < end for start, _, end in base):
-            continue
-        if UUID.fullmatch(run) or len(run) in DIGESTS and DIGEST.fullmatch(run):
+    for start, end in _parts(text, base):
+        run = text[start:end]
+        if run.isdigit() or UUID.fullmatch(run) or len(run) in DIGESTS and DIGEST.fullmatch(run):
             continue
         if _dense(run, encoder):
-            found.append((m.start(), 3, m.end()))
+            found.append((start, 3, end))
     return found
 
 
