@@ -51,13 +51,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def fit(vectors: DataFrame, lists: int = LISTS, sample: int = SAMPLE) -> np.ndarray:
-    """Centres of the lists, on a sample of ``sample`` rows at most: those with the least hash of the id."""
+    """Centres of the lists of vectors of one length, on a sample of ``sample`` rows at most: those with the least hash of the id."""
     order = F.xxhash64("id", F.lit(SEED))
     rows = vectors.select("id", "v").orderBy(order, "id").limit(sample).collect()
     if not rows:
         return np.zeros((0, 0))
-    dim = max(len(r[1]) for r in rows)
-    x = np.unique(np.array([r[1] for r in rows if len(r[1]) == dim]), axis=0)
+    x = np.unique(np.array([r[1] for r in rows]), axis=0)
     centres = x[np.random.default_rng(SEED).permutation(len(x))[:lists]]
     for _ in range(ROUNDS):
         near = _near(x, centres, 1)[:, 0]
@@ -177,15 +176,24 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     """Each query's ``k`` nearest among all vectors but itself: ``query_id, rank, vec_id, score``.
 
     The same vector under another id is a candidate.  Vectors that are null, zero or
-    hold null or non-finite components take no part, nor do those of another length
-    than the sample's longest.  Ties go to the smaller id.  Rows that repeat an id
-    and vector count once.
+    hold null or non-finite components take no part.  Vectors of another length have no
+    inner product with a query and are no candidates of it; each length, counted over all
+    rows, is searched on its own.  Ties go to the smaller id.  Rows that repeat an id and vector count once.
     """
     good = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col)
+    lengths = [r["dim"] for r in good.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect()]
+    best = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in lengths:
+        same = F.size("v") == dim
+        found = _searched(good.where(same), asked.where(same), k, lists, probes)
+        best = best.unionByName(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return best
+
+
+def _searched(good: DataFrame, asked: DataFrame, k: int, lists: int, probes: int) -> DataFrame:
+    """Search among vectors of one length."""
     centres = fit(good, lists)
-    if not centres.size:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = centres.shape[1]
     probes = min(probes, len(centres))
 
@@ -210,5 +218,4 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     limits = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
     rest = at(3, probes).join(limits, "id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("-inf"))))
     far = _scan_blocks(rest.select("list", "block", "part", "id", "limit", "v"), copies, dim, k)
-    best = _best(near.select("query_id", "vec_id", "score").unionByName(far), k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _best(near.select("query_id", "vec_id", "score").unionByName(far), k)
