@@ -5,8 +5,9 @@ shingle fell into borrows the value of a bin found by hashing its number again
 and again, the same way for every document (optimal densification).  Bands of
 bins make the bucket keys.
 
-A first pass joins most of a bucket by stars: each member against a few hubs, for a
-few rounds.  Then every pair of a bucket that still spans components is looked
+A first pass joins most of a bucket by stars: in each round a member meets one hub,
+the first in a drawn order among the hubs of all its buckets, and components are
+contracted.  Then every pair of a bucket that still spans components is looked
 at: small buckets give their pairs, large ones are cut into blocks and pairs of
 blocks compared by bitmaps of the shingles, which bound the similarity from above.
 Links are confirmed on full shingle sets.  Documents with equal sets are one node
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from glacierlens.llm import words
 from glacierlens.llm.components import components
-from glacierlens.llm.tables import written
+from glacierlens.llm.tables import discard, written
 
 SHINGLE = 5
 # similarity in hundredths
@@ -30,11 +31,8 @@ LEAST = 75
 BINS = 256
 ROWS = 5
 BANDS = BINS // ROWS
-# hubs of a bucket in the first round and in each further one; they bound the pairs of a round
-STARS = 3
-MORE_STARS = 4
-# rounds of hubs at most; what they leave is compared pair by pair
-ROUNDS = 4
+# rounds of hubs at most, as long as they join something; what they leave is compared pair by pair
+ROUNDS = 6
 # a bucket up to this size gives its pairs as rows; a larger one is cut into blocks of about BLOCK members
 SMALL = 16
 BLOCK = 1024
@@ -112,8 +110,8 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(batch):
-    """Rows of ids, set sizes, two set fingerprints and bucket keys."""
-    ids = batch.column(0)
+    """Rows of ids, text keys, set sizes, two set fingerprints and bucket keys."""
+    ids, text_keys = batch.column(0), (batch.column(2), batch.column(3))
     texts = [t.lower() for t in words.utf8(batch.column(1))]
     for first, end in words.runs(texts):
         owner, grams = shingle_sets(texts[first:end])
@@ -125,19 +123,26 @@ def _signed(batch):
         keys = band_keys(signatures(owner, grams, n)).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays(
-            [ids.slice(first, n), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+            [ids.slice(first, n), *(k.slice(first, n) for k in text_keys), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists],
+            names=["doc_id", "text_a", "text_b", "n_shingles", "set_a", "set_b", "bands"],
         )
 
 
+def text_key(text) -> list:
+    """Two hashes that name a text."""
+    return [F.xxhash64(text, F.lit("a")), F.xxhash64(F.lit("b"), text)]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """Set size, set fingerprints and bucket keys of each document's whole text."""
+    """Set size, set fingerprints and bucket keys of each document's whole text, and the text's key."""
 
     def sketch(batches):
         for batch in batches:
             yield from _signed(batch)
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    a, b = text_key(F.col("text"))
+    kind = "doc_id long, text_a long, text_b long, n_shingles long, set_a long, set_b long, bands array<long>"
+    return docs.select("doc_id", "text", a, b).mapInArrow(sketch, kind)
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -226,25 +231,19 @@ def _rest(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(wanted: DataFrame) -> DataFrame:
-    """Sorted shingle fingerprints of ``id, text``, eight bytes each, and their bitmap."""
+    """Sorted shingle fingerprints of ``node, text``, eight bytes each, and their bitmap."""
 
     def gather(batches):
         for batch in batches:
-            ids, a, b = batch.column(0), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ids = batch.column(0)
             texts = [t.lower() for t in words.utf8(batch.column(1))]
             for first, end in words.runs(texts):
                 owner, grams = shingle_sets(texts[first:end])
                 n = end - first
-                one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                np.add.at(one, owner, words.mix(grams))
-                np.add.at(two, owner, words.mix(~grams))
-                # of several texts under one id, the one that the node stands for
-                right = (one.view(np.int64) == np.array(a[first:end])) & (two.view(np.int64) == np.array(b[first:end]))
                 cuts = np.searchsorted(owner, np.arange(n + 1))
                 blobs = [grams[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)]
                 maps = [bitmap(grams[cuts[i] : cuts[i + 1]]) for i in range(n)]
-                rows = pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())], names=["node", "grams", "bits"])
-                yield rows.filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(blobs, pa.binary()), pa.array(maps, pa.binary())], names=["node", "grams", "bits"])
 
     return wanted.mapInArrow(gather, "node long, grams binary, bits binary")
 
@@ -267,18 +266,20 @@ def _confirm(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
 
-def _hubs(placed: DataFrame, stars: int, turn: int) -> DataFrame:
-    """Up to ``stars`` hubs of each bucket with more than one component.
+def _stars(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One pair ``a, b`` for a member at most, and the keys of buckets with more than one component.
 
-    One for each cell of a hash: mostly the same ones in all buckets of a group.
+    A bucket's hub is its first member in the order of this round.  A member meets the
+    first of its buckets' hubs that lies in another component and has a similar size, so a
+    round has no more pairs than members.
     """
     order = F.xxhash64("node", F.lit(turn))
-    cells = placed.groupBy("key", F.pmod(order, F.lit(stars)).alias("cell")).agg(
-        F.min(F.struct(order.alias("order"), "node", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
-    )
-    cells = written(cells, "cells")
-    apart = cells.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
-    return cells.join(apart, "key").select("key", "hub")
+    hubs = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    hubs = written(hubs.where("low <> high").select("key", "hub"), "hubs")
+    alike = (F.col("hub.comp") != F.col("comp")) & (100 * F.least("n", "hub.n") >= LEAST * F.greatest("n", "hub.n"))
+    met = placed.join(hubs, "key").where(alike).groupBy("node").agg(F.min("hub").alias("hub"))
+    pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    return pairs, hubs
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -296,23 +297,30 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> DataFrame:
     """Near-duplicate components of documents ``doc_id, text``.
 
-    One row per row: ``doc_id, n_shingles, component_id, kept``.  The component is
+    One row per row: ``doc_id, n_shingles, component_id, kept``, and what names its
+    set (``set_a, set_b``) and its text (``text_a, text_b``, see :func:`text_key`).  The component is
     named by its smallest id and kept is true for that document.  A document
     without words is linked with nothing, and so is one without an id: its
-    component is null and it is kept.  Rows that share an id are judged by their own texts.
+    component is null and it is kept.  Rows that share an id are judged by their own
+    texts: each set is a node, whatever its ids.
     """
     drawn = written(sketches(docs), "sketches")
     named = drawn.where("n_shingles > 0 and doc_id is not null")
     same = ["set_a", "set_b", "n_shingles"]
-    nodes = written(named.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")), "nodes")
+    one = F.min(F.struct("doc_id", "text_a", "text_b")).alias("one")
+    nodes = named.groupBy(*same).agg(one, F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    nodes = written(nodes, "nodes")
 
     # buckets of two nodes or more
     dealt = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     full = written(dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "buckets")
     members = written(dealt.join(full, "key").select("key", "node", "n"), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "set_a", "set_b")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").select("node", "text", "set_a", "set_b")
+    # one row holds the text of each wanted node
+    wanted = nodes.join(members.select("node").distinct(), "node").select("one.*", "node")
+    keyed = docs.select("doc_id", "text", *[k.alias(c) for k, c in zip(text_key(F.col("text")), ("text_a", "text_b"), strict=True)])
+    texts = keyed.join(wanted, ["doc_id", "text_a", "text_b"]).select("node", "text")
     sets = written(_sets(texts).dropDuplicates(["node"]), "sets")
+    done = [full]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
@@ -326,38 +334,39 @@ def link(docs: DataFrame) -> DataFrame:
 
     labels, tested = None, None
     for turn in range(ROUNDS):
-        placed = labelled(members)
-        hubs = _hubs(placed, MORE_STARS if turn else STARS, turn)
-        # buckets whose members are still apart; the others are done
-        members = written(placed.select("key", "node", "n").join(hubs.select("key").distinct(), "key", "left_semi"), "members")
-        alike = (F.col("hub.comp") != F.col("comp")) & (100 * F.least("n", "hub.n") >= LEAST * F.greatest("n", "hub.n"))
-        star = placed.join(hubs, "key")
-        pairs = star.where(alike).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+        pairs, hubs = _stars(labelled(members), turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        # buckets whose members are still apart; the others are done
+        left = written(members.join(hubs.select("key"), "key", "left_semi"), "members")
+        discard(hubs, members)
+        members = left
         tested = pairs if tested is None else tested.union(pairs)
         links = confirmed(pairs)
+        done += [pairs, links]
         if links.isEmpty():
             break
         labels = components(links) if labels is None else _joined(labels, links)
 
     # what the hubs have left, pair by pair
-    if tested is not None:
-        pairs = written(_rest(labelled(members), sets).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = confirmed(pairs)
-            if not links.isEmpty():
-                labels = components(links) if labels is None else _joined(labels, links)
-
-    heads = nodes.select("node", *same)
+    pairs = written(_rest(labelled(members), sets).join(tested, ["a", "b"], "left_anti"), "pairs")
+    done += [pairs, members]
+    if not pairs.isEmpty():
+        links = confirmed(pairs)
+        done.append(links)
+        if not links.isEmpty():
+            labels = components(links) if labels is None else _joined(labels, links)
+
+    heads = nodes.select("node", *same, F.col("one.doc_id").alias("low"))
     if labels is not None:
         heads = heads.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        heads = heads.withColumn("comp", F.col("node"))
-    found = drawn.drop("bands").join(heads.select(*same, "comp"), same, "left")
+        least = heads.groupBy("comp").agg(F.min("low").alias("low"))
+        heads = heads.drop("low").join(least, "comp")
+    heads = written(heads.select(*same, "low"), "heads")
+    discard(sets, nodes, *done)
+    found = drawn.drop("bands").join(heads, same, "left")
     own = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    found = found.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("comp")))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    found = found.withColumn("component_id", F.when(own, F.col("doc_id")).otherwise(F.col("low")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept, "set_a", "set_b", "text_a", "text_b")

@@ -22,7 +22,7 @@ def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
-    return neardup.link(table(spark, sf_dir, "documents"))
+    return neardup.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

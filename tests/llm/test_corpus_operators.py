@@ -38,6 +38,33 @@ def test_near_duplicates_of_nothing(nothing):
     assert neardup.link(nothing).count() == 0
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """Each text of a repeated id is judged by itself, and the pipeline keeps one row of each."""
+    rnd = random.Random(5)
+    a, b = ([f"{w}{rnd.randrange(10**6)}" for _ in range(120)] for w in "ab")
+    near_a, near_b = (x[:60] + ["changed"] + x[61:] for x in (a, b))
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b), (1, b), (None, a)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "src1", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id, r.component_id) for r in neardup.link(docs).collect()} == {(1, 1), (2, 1), (3, 1), (None, None)}
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "a"), (1, "a"), (1, "b")]
+
+
+def test_a_round_has_no_more_pairs_than_members(spark):
+    rnd = random.Random(2)
+    base = [f"word{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        own = list(base)
+        for at in rnd.sample(range(150), 3):
+            own[at] = f"other{i}x{at}"
+        texts.append((i, " ".join(own)))
+    drawn = neardup.sketches(spark.createDataFrame(texts, "doc_id long, text string"))
+    placed = drawn.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"), F.col("doc_id").alias("comp"))
+    pairs, _ = neardup._stars(placed, 0)
+    assert 200 < pairs.count() <= 300
+
+
 def test_near_duplicates_in_a_large_group(spark):
     """Variants of one text, whose pairs lie on both sides of the limit."""
     rnd = random.Random(9)
@@ -289,6 +316,22 @@ def test_awkward_vectors(spark):
     assert ann.search(few, few).count() == 6
 
 
+def test_vectors_of_another_length(spark):
+    """Longer and shorter strays beside null ones are no candidates, and cost no other row."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.standard_normal(8).tolist(), 0.0, 1, 1) for i in range(200)]
+    strays = [(900, rnd.standard_normal(9).tolist(), 0.0, 1, 1), (901, rnd.standard_normal(3).tolist(), 0.0, 1, 1), (902, rnd.standard_normal(3).tolist(), 0.0, 1, 1), (903, None, 0.0, 1, 1)]
+    every = vectors(spark, rows + strays)
+    got = defaultdict(list)
+    for r in ann.search(every, every, probes=64).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    x, ids = np.array([np.float32(r[1]) for r in rows], float), np.array([r[0] for r in rows])
+    assert sorted(got) == [*range(200), 901, 902]
+    for q in range(200):
+        assert [(v, s) for _, v, s in sorted(got[q])] == exact(x, x[q], ids, q)
+    assert [v for _, v, _ in got[901]] == [902]
+
+
 def test_rotation_of_chats(spark, small):
     message, n = compare("op2", queries.op2_perspective_rotation(spark, small), connect(small), chat.SQL)
     assert message is None and n > 0
