@@ -27,12 +27,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group: the one with the smallest id.
 
-    Of rows that repeat a kept id, one stays.  Documents without an id all stay.
+    Of rows that repeat a kept id and its shingle set, one stays; a kept id with different
+    texts keeps one row of each.  Documents without an id all stay.
     """
-    kept_id = fresh(docs, "kept_id")
-    kept = neardup.link(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(kept_id)).distinct()
-    one = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(kept_id)).drop(kept_id).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    key = [fresh(docs, c) for c in ("kept_id", "text_a", "text_b")]
+    found = neardup.link(docs).where("kept and doc_id is not null")
+    one = found.groupBy("doc_id", "set_a", "set_b", "n_shingles").agg(F.min(F.struct("text_a", "text_b")).alias("one"))
+    kept = one.select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "one.text_a", "one.text_b"), key, strict=True)])
+    rows = docs.where("doc_id is not null").withColumns({k: x for k, x in zip(key, [F.col("doc_id"), *neardup.text_key(F.col("text"))], strict=True)})
+    return rows.join(kept, key).dropDuplicates(key).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
