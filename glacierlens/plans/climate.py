@@ -160,7 +160,7 @@ from mon where yr between 1996 and 2000 and mo in ({}) group by 1"""
 @query(
     "A46_winter_prcp_factor",
     f"""select glacier_id, n_months, {R('w')} as winter_prcp,
-  {R('least(greatest(-1.0614e0 * ln(w) + 3.92e0, 0.1e0), 10e0)')} as factor from ({_WINTER.format('10, 11, 12, 1, 2, 3, 4')})""",
+  {R('case when w is null then null when w = 0 then 10e0 else least(greatest(-1.0614e0 * ln(w) + 3.92e0, 0.1e0), 10e0) end')} as factor from ({_WINTER.format('10, 11, 12, 1, 2, 3, 4')})""",
 )
 def _(v):
     w = cl.winter_daily_prcp(v.mon, 1996, 2000)
