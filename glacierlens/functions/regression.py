@@ -86,6 +86,22 @@ def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return out.astype(object).where(out.notna(), None)
 
 
+@F.pandas_udf(T.DoubleType())
+def t_quantile(df: pd.Series) -> pd.Series:
+    """97.5 % point of Student's t with so many degrees of freedom."""
+    return df.map(lambda nu: t_quantile_975(float(nu)) if nu > 0 else None).astype(float)
+
+
+# fixed value: 97.5 % point of the normal distribution
+NORMAL_975 = 1.959963984540054
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_pvalue(z: pd.Series) -> pd.Series:
+    """Two-sided p-value of the normal distribution."""
+    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
+
+
 def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Ordinary least squares of y on x per key: slope, intercept, r, p, stderr.
 

@@ -9,6 +9,7 @@ from glacierlens.functions import regression as reg
 from glacierlens.operators import scenario as sn
 from glacierlens.operators import series as se
 from glacierlens.operators import trends as tr
+from glacierlens.plans import trend_sql
 from glacierlens.plans.registry import query, rounded
 from glacierlens.plans.sqltext import R
 
@@ -379,12 +380,12 @@ def _monthly_dh(v):
     ).withColumn("day", F.date_diff("month", F.lit("1995-01-01").cast("date")).cast("double"))
 
 
-@query("T01_robust_trend_bisquare")
+@query("T01_robust_trend_bisquare", trend_sql.BISQUARE)
 def _(v):
     return rounded(tr.robust_trend_bisquare(_monthly_dh(v), ["region22"], "day", "dh"))
 
 
-@query("T02_robust_trend_huber")
+@query("T02_robust_trend_huber", trend_sql.HUBER)
 def _(v):
     return rounded(tr.robust_trend_huber(_monthly_dh(v), ["region22"], "day", "dh", min_count=10))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glacierlens.functions import regression as reg
 from glacierlens.functions import scalars as sc
 from glacierlens.functions.decompose import stl
-from glacierlens.functions.robust_lines import bisquare_line, huber_line
+from tests.plain_lines import bisquare_line, huber_line
 from glacierlens.operators import balance as mb
 from glacierlens.operators import ensemble as en
 from glacierlens.operators import scenario as sn
@@ -109,6 +109,31 @@ def test_robust_lines_ignore_outliers():
     assert bisquare_line(x, y)[1] == pytest.approx(2.0, abs=0.3)
 
 
+@pytest.mark.parametrize("kind", ["bisquare", "huber"])
+def test_folds_are_the_plain_loops(spark, kind):
+    """Series with outliers, of equal values, on a line, with a step, with equal x."""
+    rng = np.random.default_rng(8)
+    x = np.arange(40.0) * 30
+    series = {
+        "noise": (x, rng.normal(0, 3, 40)), "outliers": (x, 2 + 0.01 * x + rng.normal(0, 0.2, 40) + 50 * (np.arange(40) % 9 == 0)), "flat": (x, np.full(40, 2.5)),
+        "line": (x, 1 + 0.5 * x), "step": (x, np.where(x < 300, 0.0, 9.0)), "upright": (np.full(12, 3.0), rng.normal(0, 1, 12)),
+        "large": (x + 1e6, rng.normal(1e5, 1, 40)), "short": (x[:9], x[:9]), "ten": (x[:10], rng.standard_cauchy(10)),
+    }
+    pdf = pd.concat([pd.DataFrame({"k": k, "x": a, "y": b, "n": 30}) for k, (a, b) in series.items()])
+    df = spark.createDataFrame(pdf)
+    if kind == "bisquare":
+        rows, plain = tr.robust_trend_bisquare(df, ["k"], "x", "y"), bisquare_line
+    else:
+        rows, plain = tr.robust_trend_huber(df, ["k"], "x", "y"), huber_line
+        clean = se.hampel(df.where("y <> 0"), ["k"], "x", "y").toPandas()
+        series = {k: tuple(g.sort_values("x")[["x", "filtered"]].to_numpy(float).T) for k, g in clean.groupby("k") if k != "upright"}
+    got = {r["k"]: r for r in rows.collect()}
+    for k, (a, b) in series.items():
+        want = plain(a, b) if len(a) >= 10 else None
+        have = got[k]["slope"], got[k]["intercept"], got[k]["p"], got[k]["half_ci"]
+        assert have == (None,) * 4 if want is None else have == pytest.approx(want, rel=1e-6, abs=1e-9), k
+
+
 def test_bisquare_trend_needs_ten_points(spark):
     pdf = pd.DataFrame({"k": ["a"] * 9 + ["b"] * 12, "x": list(range(9)) + list(range(12)), "y": np.arange(21.0) * 3})
     got = {r["k"]: r["slope"] for r in tr.robust_trend_bisquare(spark.createDataFrame(pdf), ["k"], "x", "y").collect()}
