@@ -133,7 +133,9 @@ def group_ranks(
 
     Bucket prefix sums give the offset and a window per (key, bucket) over the
     distinct values the rest, so neither a hot key nor one value shared by many
-    rows is sorted in one task.  The ranks are joined back by value.
+    rows is sorted in one task.  The ranks are joined back by value: without a
+    shuffle of the rows while there are few distinct values, else by a join whose
+    crowded values AQE splits.
     """
     keys = list(keys)
     rows = df.withColumn("__b", order_bucket(F.col(value), per_octave))
@@ -142,7 +144,7 @@ def group_ranks(
     before = F.sum("__k").over(Window.partitionBy(*keys).orderBy("__b")) - F.col("__k")
     offsets = settle(counts.select(*keys, "__b", before.alias("__before")))
     below = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy(value)) - F.col("__c")
-    ranks = values.join(offsets, [*keys, "__b"]).select(
+    ranks = settle(values.join(offsets, [*keys, "__b"]).select(
         *keys, "__b", value, (F.col("__before") + below + (F.col("__c") + 1) / 2.0).alias(out)
-    )
+    ))
     return rows.join(ranks, [*keys, "__b", value]).drop("__b")

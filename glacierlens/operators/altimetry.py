@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glacierlens.functions.quantiles import group_quantiles
-from glacierlens.session import attach, settle, sized_broadcast
+from glacierlens.session import attach, settle, sized_broadcast, stored
 
 
 @dataclass(frozen=True)
@@ -118,6 +118,8 @@ def summary10(df: DataFrame, keys: Sequence[str], screen: Screen) -> DataFrame:
     """Ten summary values per key after the screen, quartiles by the midpoint rule."""
     keys = list(keys)
     kept, _ = screened(df, keys, screen)
+    # the moments and each quartile pass read the rows again, so the screen's join runs once
+    kept = stored(kept.select(*keys, "n_first", "dh"), "screened")
     moments = kept.groupBy(*keys, "n_first").agg(
         F.count("*").alias("n"),
         F.avg("dh").alias("mean"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glacierlens.functions.quantiles import group_quantiles, group_ranks
 from glacierlens.functions.regression import linear_trend
 from glacierlens.functions.scalars import clip, speed
-from glacierlens.session import attach, settle
+from glacierlens.session import attach, settle, stored
 
 # fixed values: slope limits of the band geometry, volume-area scaling
 MIN_SLOPE, MAX_SLOPE = math.radians(0.4), math.radians(60.0)
@@ -95,7 +95,7 @@ def elevation_bins(pixels: DataFrame, dx: float, size: float = 30.0, variables:
         "_b", F.floor(F.col("value") / F.col("_step")).cast("long")
     )
     # five passes follow, so the slopes (two window shuffles) are written once
-    rows = rows.select("glacier_id", "_b", "_step", "_s", "value", *variables).checkpoint()
+    rows = stored(rows.select("glacier_id", "_b", "_step", "_s", "value", *variables), "pixels")
     keys = ["glacier_id", "_b"]
     q = group_quantiles(rows, keys, "_s", {"_q05": 0.05, "_q20": 0.2, "_q80": 0.8}).drop("n")
     share = clip(2 * F.col("_q20") / F.col("_q80"), 0.55, 0.95)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,44 @@ def test_granule_log(spark, tmp_path):
     assert [(r["lat_cell"], r["lon_cell"], r["n_saved"]) for r in spark.read.parquet(f"{log}/cells").collect()] == [(30, 72, 100)]
 
 
+def test_append_dies_half_way_and_runs_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cells")
+    df = spark.createDataFrame([(70.5, 30.5, 1), (70.5, 30.2, 2), (71.5, 30.5, 3)], "lon double, lat double, v int")
+    assert sinks.read_committed(spark, path, df.schema).count() == 0
+    assert sinks.append_once(df, path, "a")
+    monkeypatch.setattr(sinks.commits, "record", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        sinks.append_once(df, path, "b")
+    assert sinks.read_committed(spark, path, df.schema).count() == 3
+    monkeypatch.undo()
+    assert sinks.append_once(df, path, "b") and not sinks.append_once(df, path, "b") and not sinks.append_once(df, path, "a")
+    back = sinks.read_committed(spark, path, df.schema)
+    assert back.count() == 6 and {(r.lat_cell, r.lon_cell) for r in back.collect()} == {(30, 70), (30, 71)}
+    assert sinks.drop_orphans(spark, path) == 1 and sinks.drop_orphans(spark, path) == 0
+    assert sinks.read_committed(spark, path, df.schema).count() == 6
+
+
+def test_store_holds_each_month_once(spark, tmp_path):
+    """Batches in any order and twice; the files left are about those of the months."""
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    rng = np.random.default_rng(4)
+    rows = [(int(g), "t", dt.date(2020, 1, 1) + dt.timedelta(days=int(d)), float(v), 1) for g, d, v in zip(rng.integers(1, 4, 120), rng.integers(0, 90, 120), rng.integers(0, 50, 120))]
+    rows[7] = (1, "t", None, 5.0, 1)
+    rows[8] = (2, "t", dt.date(2020, 1, 3), None, 0)
+    for batch in range(12):
+        part = spark.createDataFrame(rows[batch * 10 : batch * 10 + 10], ingest.Store.DAYS)
+        assert store.add(part, "s", batch)
+        assert not store.add(part, "s", batch)
+    every = spark.createDataFrame(rows, ingest.Store.DAYS).groupBy("glacier_id", "variable", "obs_date").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    assert sorted(map(str, store.daily().collect())) == sorted(map(str, every.collect()))
+    want = cl.daily_to_monthly(every.withColumn("value", F.when(F.col("n") > 0, F.col("total") / F.col("n"))))
+    key = lambda d: sorted((r["glacier_id"], str(r["month"]), round(r["value"], 9), r["n_days"]) for r in d.collect())
+    assert key(store.monthly()) == key(want)
+    folders = [p for p in (tmp_path / "store" / "daily").glob("*/month=*")]
+    assert len({p.name for p in folders}) == 4 and len(folders) <= 8
+    assert store.add(spark.createDataFrame(rows[:3], ingest.Store.DAYS), "another stream", 0)
+
+
 def test_merge_leaves_out_a_partitioned_total(spark, tmp_path):
     df = spark.createDataFrame([(1, 2), (2, 3)], "id int, ssp int")
     df.write.parquet(str(tmp_path / "runs" / "run_batch_0"))
