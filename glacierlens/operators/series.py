@@ -33,11 +33,11 @@ def hampel(df: DataFrame, keys: Sequence[str], order: str, value: str, k: int =
 
 
 def array_median(arr: Column) -> Column:
-    """Median of a short array."""
+    """Median of a short array; NULL for an empty one."""
     a = F.array_sort(arr)
     m = F.size(arr)
     lo, hi = F.floor((m + 1) / 2).cast("int"), F.floor((m + 2) / 2).cast("int")
-    return (F.element_at(a, lo) + F.element_at(a, hi)) / 2
+    return F.when(m > 0, (F.element_at(a, lo) + F.element_at(a, hi)) / 2)
 
 
 def winter_difference(df: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:

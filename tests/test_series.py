@@ -99,6 +99,13 @@ def test_conserve_total(v, spark):
     assert out.agg(F.sum("x") * 2).first()[0] == pytest.approx(123.0)
 
 
+def test_hampel_over_a_gap(spark):
+    """A window of missing values alone has no median and no outlier."""
+    rows = [(1, t, None if 3 <= t <= 20 else float(t)) for t in range(30)]
+    out = se.hampel(spark.createDataFrame(rows, "k int, t int, v double"), ["k"], "t", "v").orderBy("t").collect()
+    assert [r.filtered for r in out] == [r[2] for r in rows] and out[12].is_outlier is None
+
+
 def test_robust_lines_ignore_outliers():
     x = np.arange(60.0)
     y = 2.0 + 0.5 * x + np.random.default_rng(1).normal(0, 0.2, 60)
