@@ -23,8 +23,8 @@ def _(v):
 @query("M01b_climate_local_gradient", f"""with g as (select m.glacier_id, m.yr, m.mo, b.bin_id, m.prcp * 2.5e0 as p,
   m.temp + least(greatest(case when mo % 4 = 0 then -0.0065e0 else mo * -0.0012e0 end, -0.009e0), -0.003e0) * (b.height - p.ref_hgt) as t
   from mon m join par p on m.glacier_id = p.glacier_id join bins b on m.glacier_id = b.glacier_id)
-select glacier_id, yr, mo, {R('avg(t)')} as temp, {R('avg(greatest(t + 1, 0))')} as melt,
-  {R('avg(p * least(greatest(1 - t / 2e0, 0), 1))')} as snow from g group by 1, 2, 3""")
+select glacier_id, yr, mo, {R('avg(t)')} as temp, {R('avg(case when t <= -1 then 0 else t + 1 end)')} as melt,
+  {R('avg(p * case when t <= 0 then 1 when t >= 2 then 0 else 1 - t / 2e0 end)')} as snow from g group by 1, 2, 3""")
 def _(v):
     clim = v.mon.withColumn("gradient", F.when(F.col("mo") % 4 != 0, F.col("mo") * -0.0012))
     pts = mb.climate_on_height(clim, v.par, v.bins)
@@ -32,18 +32,18 @@ def _(v):
 
 
 @query("M02_yearly_climate", f"""select glacier_id, bin_id, height, yr, {R('sum(melt)')} as melt, {R('sum(snow)')} as snow from pt
-group by 1, 2, 3, 4 having count(*) = 12""")
+group by 1, 2, 3, 4 having count(melt + snow) = 12""")
 def _(v):
     return rounded(mb.yearly_climate_on_height(_points(v)))
 
 
 @query("M02b_yearly_climate_flat", f"""with f as (select glacier_id, yr, mo, avg(melt) as melt, avg(snow) as snow from pt group by 1, 2, 3)
-select glacier_id, yr, {R('sum(melt)')} as melt, {R('sum(snow)')} as snow from f group by 1, 2 having count(*) = 12""")
+select glacier_id, yr, {R('sum(melt)')} as melt, {R('sum(snow)')} as snow from f group by 1, 2 having count(melt + snow) = 12""")
 def _(v):
     return rounded(mb.yearly_climate_on_height(_points(v), flatten=True))
 
 
-_GC = """y as (select glacier_id, bin_id, width, yr, sum(melt) as melt, sum(snow) as snow from pt group by 1, 2, 3, 4 having count(*) = 12),
+_GC = """y as (select glacier_id, bin_id, width, yr, sum(melt) as melt, sum(snow) as snow from pt group by 1, 2, 3, 4 having count(melt + snow) = 12),
 gc as (select glacier_id, yr, sum(width * melt) / sum(width) as temp, sum(width * snow) / sum(width) as prcp from y group by 1, 2)"""
 
 
@@ -58,7 +58,7 @@ def _(v):
 
 
 @query("M04b_point_balance_annual", f"""select glacier_id, bin_id, yr, {R('sum(snow) - any_value(mu) * sum(melt) - any_value(bias)')} as mb from pt
-group by 1, 2, 3 having count(*) = 12""")
+group by 1, 2, 3 having count(melt + snow) = 12""")
 def _(v):
     return rounded(mb.point_balance(_points(v), annual=True).select("glacier_id", "bin_id", "yr", "mb"))
 

@@ -7,6 +7,7 @@ from glacierlens.plans import (  # noqa: F401
     balance,
     climate,
     ensemble,
+    gaps,
     scenario,
     sources,
     spatial,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from glacierlens.plans import fixtures
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
+# what was registered, for variants
+_PLAIN: dict[str, tuple[Callable, str | None]] = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -27,6 +30,7 @@ def query(name: str, oracle: str | None = None):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         _QUERIES[name] = run
+        _PLAIN[name] = fn, oracle
         if oracle is not None:
             _ORACLES[name] = fixtures.with_views(oracle)
         return fn
@@ -34,6 +38,19 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def with_gaps(name: str) -> None:
+    """Register a variant of a query (g after its id) over climate fixtures with missing months."""
+    fn, oracle = _PLAIN[name]
+    variant = re.sub(r"^([A-Z][0-9]{2}[a-z]?)_", r"\1g_", name)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(fixtures.Views(spark, sf_dir, gaps=True))
+
+    run.__name__, run.__doc__ = variant, fn.__doc__
+    _QUERIES[variant] = run
+    _ORACLES[variant] = fixtures.with_views(oracle, gaps=True)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round float columns in the query output only.
 
