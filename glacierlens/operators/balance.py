@@ -146,7 +146,7 @@ def constant_climate_balance(climate: DataFrame, params: DataFrame, bins: DataFr
 
 def equilibrium_line(climate: DataFrame, params: DataFrame, keys: Sequence[str] = ("yr",), years: int = 1,
                      ph: Physics = DEFAULT) -> DataFrame:
-    """Height of zero annual balance per glacier and key; NULL if there is none.
+    """Height of zero annual balance per glacier and key of full years; NULL if there is none.
 
     With fixed gradients the balance is piecewise linear in height, with kinks
     where a month reaches a threshold temperature.  The kinks of the (at most
@@ -157,7 +157,7 @@ def equilibrium_line(climate: DataFrame, params: DataFrame, keys: Sequence[str]
     c = climate.withColumn("_g", lapse(climate, ph))
     months = c.groupBy("glacier_id", *keys).agg(
         F.collect_list(F.struct(F.col("temp").alias("t"), (F.col("prcp") * ph.prcp_factor).alias("p"), F.col("_g").alias("g"))).alias("_ms"),
-        F.count("*").alias("_n"),
+        F.count(F.col("temp") + F.col("prcp")).alias("_n"),
     ).where(F.col("_n") == 12 * years).join(params, "glacier_id")
     ref = F.col("ref_hgt")
     kinks = F.flatten(F.transform("_ms", lambda m: F.array(*[

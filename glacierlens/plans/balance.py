@@ -101,7 +101,7 @@ def _ela_sql(keys: str, months: str, years: int) -> str:
     k = f"glacier_id{keys}"
     using = f"using (glacier_id{keys})"
     return f"""ms as ({months}),
-ok as (select {k} from ms group by {k} having count(*) = {12 * years}),
+ok as (select {k} from ms group by {k} having count(temp + p) = {12 * years}),
 z as (select distinct {k}, z from (
   select {k}, ref_hgt + (l.lim - temp) / -0.0065e0 as z from ms, (values (-1e0), (0e0), (2e0)) l(lim)
   union all select {k}, -1e4 from ok union all select {k}, 2e4 from ok) where z between -1e4 and 2e4),

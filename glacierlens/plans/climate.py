@@ -200,7 +200,7 @@ def _(v):
     return rounded(cl.period_share(cl.top_n_years(v.scores, 5), 1995))
 
 
-T_TEST = """m as (select {k}, count(*) as n, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, corr(y, x) as r,
+T_TEST = """m as (select {k}, regr_count(y, x) as n, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, corr(y, x) as r,
   regr_syy(y, x) as syy, regr_sxx(y, x) as sxx from src group by all),
 tt as (select *, n - 2 as nu, atan(abs(r) * sqrt((n - 2) / (1 - r * r)) / sqrt(n - 2)) as th from m),
 pv as (select {k}, case when any_value(nu) % 2 = 0 then
