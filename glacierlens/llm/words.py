@@ -2,11 +2,14 @@
 
 A word is a run of bytes other than the six ASCII white-space characters.  A
 fingerprint is a polynomial of random byte values modulo 2**64, mixed with the
-word's length; prefix sums give those of all words of a buffer at once.
+word's length; prefix sums give those of all words of a buffer at once.  Modulo a
+power of two, long words of few letters can be built that no such polynomial tells
+apart, so a word of more than ``LONG`` bytes has 64 bits of a cryptographic hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +17,8 @@ import numpy as np
 U = np.uint64
 # bytes of text that are handled at a time; a longer text is handled alone
 BUFFER = 1 << 21
+# bytes of a word that the polynomial is trusted with
+LONG = 32
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -77,7 +82,10 @@ def fingerprints(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.cumsum(_VALUES[np.frombuffer(data, np.uint8)] * _power(_BASE, n), out=sums[1:])
     inverse = _power(_INVERSE, n)
     prints = (sums[ends] - sums[starts]) * inverse[starts] if len(starts) else np.zeros(0, np.uint64)
-    return starts, ends, mix(prints + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    prints = mix(prints + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        prints[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return starts, ends, prints
 
 
 def runs(texts: list[bytes], size: int = BUFFER) -> Iterator[tuple[int, int]]:

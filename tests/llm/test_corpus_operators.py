@@ -38,6 +38,18 @@ def test_near_duplicates_of_nothing(nothing):
     assert neardup.link(nothing).count() == 0
 
 
+def test_long_words_of_few_letters(spark):
+    """The Thue-Morse word of two letters and its complement are two words, whatever their length."""
+    for size in (8, 64, 1024, 1 << 14):
+        bits = [bin(i).count("1") % 2 for i in range(size)]
+        one, two = ("".join("ab"[x ^ turn] for x in bits) for turn in (0, 1))
+        prints = words.fingerprints(f"{one} {two} {one}".encode())[2]
+        assert prints[0] == prints[2] != prints[1]
+    ends = [" ".join(["w"] * 6 + [w] + ["v"] * 6) for w in (one, two)]
+    docs = spark.createDataFrame(list(enumerate(ends)), "doc_id long, text string")
+    assert [r.n_removed for r in recompress.remove_repeats(docs).orderBy("doc_id").collect()] == [0, 0]
+
+
 def test_repeated_ids_with_different_texts(spark):
     """Each text of a repeated id is judged by itself, and the pipeline keeps one row of each."""
     rnd = random.Random(5)
