@@ -204,14 +204,19 @@ def _compare(unit: pa.Table) -> pa.Table:
     one, two = unit["one"][0].as_py(), unit["two"][0].as_py()
     a, b = similar_enough(n, maps, np.flatnonzero(side == one), np.flatnonzero(side == two))
     keep = (comp[a] != comp[b]) & ((one != two) | (node[a] < node[b]))
-    a, b = node[a[keep]], node[b[keep]]
+    a, b = a[keep], b[keep]
+    # a pair belongs to the first bucket it shares
+    key, bands = unit["key"][0].as_py(), [set(x) for x in unit["bands"].to_pylist()]
+    first = np.array([min(bands[i] & bands[j]) == key for i, j in zip(a.tolist(), b.tolist())], bool)
+    a, b = node[a[first]], node[b[first]]
     return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
-def _rest(placed: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(placed: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that share a bucket, lie in two components and may be similar enough.
 
-    All pairs of all buckets are looked at.  ``placed`` has ``key, node, n, comp``.
+    All pairs of all buckets are looked at; of those of large buckets each comes from the
+    first bucket it shares.  ``placed`` has ``key, node, n, comp``, ``nodes`` has ``bands``.
     """
     held = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     held = written(held.where("low <> high").select("key", "m"), "apart")
@@ -225,7 +230,7 @@ def _rest(placed: DataFrame, sets: DataFrame) -> DataFrame:
     sent = placed.join(many, "key").withColumn("side", side)
     sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select("key", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "node", "n", "comp", "side")
-    sent = sent.join(sets.select("node", "bits"), "node")
+    sent = sent.join(sets.select("node", "bits").join(nodes.select("node", "bands"), "node"), "node")
     crowded = sent.groupBy("key", "one", "two").applyInArrow(_compare, "a long, b long")
     return pairs.union(crowded).distinct()
 
@@ -271,9 +276,10 @@ def _stars(placed: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
 
     A bucket's hub is its first member in the order of this round.  A member meets the
     first of its buckets' hubs that lies in another component and has a similar size, so a
-    round has no more pairs than members.
+    round has no more pairs than members.  The order is that of ``id``, the node's
+    smallest document id, hashed: the numbers of nodes differ from run to run.
     """
-    order = F.xxhash64("node", F.lit(turn))
+    order = F.xxhash64("id", F.lit(turn))
     hubs = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     hubs = written(hubs.where("low <> high").select("key", "hub"), "hubs")
     alike = (F.col("hub.comp") != F.col("comp")) & (100 * F.least("n", "hub.n") >= LEAST * F.greatest("n", "hub.n"))
@@ -312,9 +318,9 @@ def link(docs: DataFrame) -> DataFrame:
     nodes = written(nodes, "nodes")
 
     # buckets of two nodes or more
-    dealt = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    dealt = nodes.select("node", F.col("one.doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     full = written(dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "buckets")
-    members = written(dealt.join(full, "key").select("key", "node", "n"), "members")
+    members = written(dealt.join(full, "key").select("key", "node", "id", "n"), "members")
     # one row holds the text of each wanted node
     wanted = nodes.join(members.select("node").distinct(), "node").select("one.*", "node")
     keyed = docs.select("doc_id", "text", *[k.alias(c) for k, c in zip(text_key(F.col("text")), ("text_a", "text_b"), strict=True)])
@@ -350,7 +356,7 @@ def link(docs: DataFrame) -> DataFrame:
         labels = components(links) if labels is None else _joined(labels, links)
 
     # what the hubs have left, pair by pair
-    pairs = written(_rest(labelled(members), sets).join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = written(_rest(labelled(members), sets, nodes).join(tested, ["a", "b"], "left_anti"), "pairs")
     done += [pairs, members]
     if not pairs.isEmpty():
         links = confirmed(pairs)

@@ -72,7 +72,7 @@ def test_a_round_has_no_more_pairs_than_members(spark):
             own[at] = f"other{i}x{at}"
         texts.append((i, " ".join(own)))
     drawn = neardup.sketches(spark.createDataFrame(texts, "doc_id long, text string"))
-    placed = drawn.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"), F.col("doc_id").alias("comp"))
+    placed = drawn.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"), F.col("doc_id").alias("comp"))
     pairs, _ = neardup._stars(placed, 0)
     assert 200 < pairs.count() <= 300
 
