@@ -102,6 +102,11 @@ def normal_pvalue(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson r as an aggregate; NULL where a side doesn't vary (``corr`` divides by 0 there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+
+
 def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Ordinary least squares of y on x per key: slope, intercept, r, p, stderr.
 

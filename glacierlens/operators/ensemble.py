@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glacierlens.functions.regression import correlation
 from glacierlens.session import settle, sized_broadcast
 
 # fixed values: ice to water, reported over observed rate of the calibration
@@ -140,7 +141,7 @@ def deviation_metrics(df: DataFrame, keys: Sequence[str] = (), ref: str = "obs",
         F.sqrt(F.avg(d * d)).alias("rmsd"),
         F.sqrt(F.var_pop(d)).alias("rmsd_bc"),
         F.avg(F.when(r != 0, d / r)).alias("rel_err"),
-        F.corr(x, r).alias("corr"),
+        correlation(x, r).alias("corr"),
     )
 
 
