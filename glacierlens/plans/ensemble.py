@@ -200,7 +200,7 @@ def _(v):
 
 @query("A51c_response_correlation", f"with {_LEVELS} select {R('corr(x, smb)')} as corr, count(*) as n from xy")
 def _(v):
-    return rounded(_response(v).agg(F.corr("score", "smb").alias("corr"), F.count("*").alias("n")))
+    return rounded(_response(v).agg(reg.correlation(F.col("score"), F.col("smb")).alias("corr"), F.count("*").alias("n")))
 
 
 @query("T05_poly_fit", f"""with f as ({quad_sql('fp', 'obs_day', 'dh', 'region15')}),
