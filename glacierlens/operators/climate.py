@@ -71,10 +71,16 @@ def step_score(value: Column, weights, hot: bool, prefix: str) -> Column:
 
 
 def _scored(df, value, weights, hot):
-    q = glacier_quantiles(df, value, [p for p, _ in weights], "_p")
-    joined = df.join(q, "glacier_id")
-    return joined.withColumn("score", step_score(F.col(value), weights, hot, "_p")).drop(
-        *[f"_p{p}" for p, _ in weights]
+    """Scores by percentiles of the glacier's own series, which holds a row per month.
+
+    A bound may be one of the values itself.  Values and bounds come from one evaluation of the
+    rows, as sums made twice may add up in another order and differ in the last digit.
+    """
+    bounds = F.percentile(value, F.array(*[F.lit(p / 100) for p, _ in weights]))
+    rows = df.where(F.col("glacier_id").isNotNull()).withColumn("_q", bounds.over(Window.partitionBy("glacier_id")))
+    rows = rows.withColumns({f"_p{p}": F.col("_q")[i] for i, (p, _) in enumerate(weights)})
+    return rows.withColumn("score", step_score(F.col(value), weights, hot, "_p")).drop(
+        "_q", *[f"_p{p}" for p, _ in weights]
     )
 
 
