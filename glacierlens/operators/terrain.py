@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glacierlens.functions.quantiles import group_quantiles, group_ranks
 from glacierlens.functions.regression import linear_trend
-from glacierlens.functions.scalars import clip, speed
+from glacierlens.functions.scalars import clip, speed, steady_sum
 from glacierlens.session import attach, settle, stored
 
 # fixed values: slope limits of the band geometry, volume-area scaling
@@ -197,7 +197,7 @@ def conserve_total(df: DataFrame, keys: Sequence[str], value: str, targets: Data
     """Rescale a field so that sum * cell is the key's target; negative and zero become NULL."""
     keys = list(keys)
     pos = clip(value, lo=0.0)
-    sums = df.groupBy(*keys).agg((F.sum(pos) * cell).alias("_sum")).join(targets, keys)
+    sums = df.groupBy(*keys).agg((steady_sum(pos) * cell).alias("_sum")).join(targets, keys)
     ratio = F.when(F.col("_sum") > 0, F.col("target") / F.col("_sum")).otherwise(1.0)
     scaled = df.join(settle(sums.select(*keys, ratio.alias("_k"))), keys).withColumn("_v", pos * F.col("_k"))
     return scaled.withColumn(value, F.when(F.col("_v") != 0, F.col("_v"))).drop("_k", "_v")
