@@ -39,6 +39,8 @@ BLOCK = 1024
 # bits of a document's bitmap: a power of two from eight times its shingles, within these bounds
 LEAST_BITS = 512
 MOST_BITS = 1 << 16
+# bytes of text whose words and shingles are numbers in memory at a time; a longer text is handled alone
+TEXT_BYTES = 1 << 19
 # bits that are unpacked at a time
 SLICE = 4096
 
@@ -112,10 +114,9 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 def _signed(batch):
     """Rows of ids, text keys, set sizes, two set fingerprints and bucket keys."""
     ids, text_keys = batch.column(0), (batch.column(2), batch.column(3))
-    texts = [t.lower() for t in words.utf8(batch.column(1))]
-    for first, end in words.runs(texts):
-        owner, grams = shingle_sets(texts[first:end])
-        n = end - first
+    for first, texts in words.buffers(batch.column(1), TEXT_BYTES):
+        owner, grams = shingle_sets([t.lower() for t in texts])
+        n = len(texts)
         size = np.bincount(owner, minlength=n)
         one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         np.add.at(one, owner, words.mix(grams))
@@ -241,10 +242,9 @@ def _sets(wanted: DataFrame) -> DataFrame:
     def gather(batches):
         for batch in batches:
             ids = batch.column(0)
-            texts = [t.lower() for t in words.utf8(batch.column(1))]
-            for first, end in words.runs(texts):
-                owner, grams = shingle_sets(texts[first:end])
-                n = end - first
+            for first, texts in words.buffers(batch.column(1), TEXT_BYTES):
+                owner, grams = shingle_sets([t.lower() for t in texts])
+                n = len(texts)
                 cuts = np.searchsorted(owner, np.arange(n + 1))
                 blobs = [grams[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)]
                 maps = [bitmap(grams[cuts[i] : cuts[i + 1]]) for i in range(n)]

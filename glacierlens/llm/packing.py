@@ -30,6 +30,9 @@ BLOCK_ITEMS = 40_000
 FAN_IN = 8
 PASSED_ON = BLOCK_ITEMS // FAN_IN // 2
 
+# bytes of ids that a worker hands on at a time
+BATCH_BYTES = 1 << 22
+
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -57,7 +60,7 @@ def pieces(docs: DataFrame, capacity: int = SEQUENCE_TOKENS, end_id: int = END_I
                         values.append(x)
                     piece, at, until = piece + 1, until, until + capacity
                 size += len(ids)
-                if size >= 1 << 24:
+                if size >= BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays(_typed(out), names=["doc_id", "piece", "start", "length", "ids"])
                     out, size = [[] for _ in range(5)], 0
             yield pa.RecordBatch.from_arrays(_typed(out), names=["doc_id", "piece", "start", "length", "ids"])

@@ -57,8 +57,9 @@ _kept: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     if n > BUFFER:
         return _powers(base, n)
-    if base not in _kept:
-        _kept[base] = _powers(base, BUFFER)
+    if base not in _kept or len(_kept[base]) < n:
+        # a reused worker keeps them, so no more than its buffers need
+        _kept[base] = _powers(base, min(BUFFER, 1 << n.bit_length()))
     return _kept[base][:n]
 
 
@@ -100,6 +101,24 @@ def runs(texts: list[bytes], size: int = BUFFER) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def buffers(column, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """First row and texts of consecutive rows of an Arrow string column that fill a buffer together.
+
+    Only one buffer's texts are Python objects at a time.
+    """
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first, total = 0, 0
+    for i, length in enumerate(lengths):
+        if i > first and total + length + 1 > size:
+            yield first, utf8(column.slice(first, i - first))
+            first, total = i, 0
+        total += length + 1
+    if first < len(lengths):
+        yield first, utf8(column.slice(first))
+
+
 def word_counts(starts: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """Number of words of each joined text."""
     ends = np.cumsum([len(t) + 1 for t in texts])
