@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' ids over the same bytes, and how often ids meet.
 
 The ends of both tokenizations, counted in bytes, are kept in dictionaries from end to
-number of ids.  The keys that both dictionaries hold are the common ends; in order,
-they slice both id lists into groups.  Within a slice the ends that only one side has
+number of ids, as arrays with a place for each byte of the text.  The keys that both
+dictionaries hold are the common ends; in order, they slice both id lists into groups.  Within a slice the ends that only one side has
 part the links: each id is linked with the ids of the other side whose bytes it
 overlaps, so a slice of m and n ids has m + n - 1 links.
 """
@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ BATCH_IDS = 1 << 19
 # a table of counts up to this many rows is broadcast (16 bytes a row); a larger one is joined by a shuffle
 BROADCAST_PAIRS = 3_000_000
 
+# a word of more bytes is left to the sentence-piece model
+LONG_WORD = 500
+
 SUMMARY = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
@@ -36,8 +40,16 @@ class Side:
     def __init__(self, spelled: list[bytes], encode):
         self.size, self.encode = len(spelled), encode
         self.lengths = np.array([len(x) for x in spelled])
-        self.spelled, self.decimal = np.empty(self.size, object), np.empty(self.size, object)
-        self.spelled[:], self.decimal[:] = spelled, [str(i) for i in range(self.size)]
+        self.spelled = pa.array(spelled, pa.binary())
+
+    def spells(self, ids: np.ndarray, raw: bytes) -> bool:
+        return _joined(self.spelled, ids) == raw
+
+
+def _joined(values: pa.Array, at: np.ndarray) -> bytes:
+    """The values at these places, one after the other."""
+    taken = pc.take(values, pa.array(at), boundscheck=False).buffers()[2]
+    return taken.to_pybytes() if taken else b""
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -68,20 +80,66 @@ def byte_level(json_path: str, rank_path: str) -> Side:
     spelled = [b""] * (max(plain._json.get_vocab().values()) + 1)
     for token, i in vocabulary.items():
         spelled[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
-    return Side(spelled, lambda text: plain.ids(" " + text))
+    return Side(spelled, lambda text: _array(plain.ids(" " + text)))
+
+
+def _array(ids: list[int]) -> np.ndarray:
+    return np.fromiter(ids, np.int32, len(ids))
+
+
+def _longest_word(raw: bytes) -> int:
+    spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    return int(np.diff(spaces, append=len(raw)).max()) - 1
+
+
+class _Pieces:
+    """Ids of a sentence-piece model of kind BPE that takes characters as they are.
+
+    Its pieces in the order of their scores are a rank file, which the byte-level
+    vocabulary's library merges faster; ranks before them make characters of bytes.
+    No piece goes on past a word into the space behind it, so words are merged
+    apart.  Texts with characters that no piece holds, with long words or with three
+    spaces in a row, whose pieces have one score, go through the model itself.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+        import tiktoken
+
+        self._model = model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kept = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        kept.sort(key=model.get_score, reverse=True)
+        texts = [model.id_to_piece(i) for i in kept]
+        ranks = {bytes([b]): b for b in range(256)}
+        for character in map(str.encode, sorted(set("".join(texts)) - {"▁"})):
+            for end in range(2, len(character) + 1):
+                ranks.setdefault(character[:end], len(ranks))
+        spelled = {text.replace("▁", " ").encode(): i for i, text in zip(kept, texts)}
+        for piece in spelled:
+            ranks.setdefault(piece, len(ranks))
+        byte_ids = {bytes([b]): model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
+        # by rank; -1 for a part of a character
+        self._ids = np.array([spelled.get(x, byte_ids.get(x, -1)) for x in ranks], np.int32)
+        self._ranks = tiktoken.Encoding("pieces", pat_str=" *[^ ]+| +", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        spaced = " " + text
+        if "▁" not in text and "   " not in spaced and _longest_word(spaced.encode()) <= LONG_WORD:
+            found = self._ids[_array(self._ranks.encode_ordinary(spaced))]
+            if found.min() >= 0:
+                return found
+        return self._model.encode(text, num_threads=1, return_type="numpy").astype(np.int32, copy=False)
 
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Side:
     """The sentence-piece vocabulary; it puts a space before the text itself."""
-    import sentencepiece
-
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    spelled = []
+    plain = _Pieces(path)
+    model, spelled = plain._model, []
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         spelled.append(bytes([int(piece[3:-1], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
-    return Side(spelled, lambda text: model.encode(text, num_threads=1))
+    return Side(spelled, plain.ids)
 
 
 class Aligned(NamedTuple):
@@ -89,29 +147,29 @@ class Aligned(NamedTuple):
 
     a: np.ndarray
     b: np.ndarray
-    cuts_a: list[int]
-    cuts_b: list[int]
+    cuts_a: np.ndarray
+    cuts_b: np.ndarray
     ends_a: np.ndarray
     ends_b: np.ndarray
 
 
-_NONE = np.zeros(0, np.int64)
-NOTHING = Aligned(_NONE, _NONE, [0], [0], _NONE, _NONE)
+_NONE, _START = np.zeros(0, np.int32), np.zeros(1, np.int32)
+NOTHING = Aligned(_NONE, _NONE, _START, _START, _NONE, _NONE)
 
 
 def align(text: str | None, left: Side, right: Side) -> Aligned:
     """Both tokenizations of a text and their groups; no ids where either doesn't spell the text's bytes."""
     if not text:
         return NOTHING
-    a, b = np.array(left.encode(text), np.int64), np.array(right.encode(text), np.int64)
+    a, b = left.encode(text), right.encode(text)
     raw = b" " + text.encode()
-    if b"".join(left.spelled[a].tolist()) != raw or b"".join(right.spelled[b].tolist()) != raw:
+    if not (left.spells(a, raw) and right.spells(b, raw)):
         return NOTHING
     ends_a, ends_b = np.cumsum(left.lengths[a]), np.cumsum(right.lengths[b])
-    at_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))
-    at_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    return Aligned(a, b, [0, *map(at_a.__getitem__, common)], [0, *map(at_b.__getitem__, common)], ends_a, ends_b)
+    at_a, at_b = (np.zeros(len(raw) + 1, np.int32) for _ in range(2))
+    at_a[ends_a], at_b[ends_b] = np.arange(1, len(a) + 1), np.arange(1, len(b) + 1)
+    common = ends_a[at_b[ends_a] > 0]
+    return Aligned(a, b, np.concatenate([_START, at_a[common]]), np.concatenate([_START, at_b[common]]), ends_a, ends_b)
 
 
 def links(found: Aligned) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +187,23 @@ def links(found: Aligned) -> tuple[np.ndarray, np.ndarray]:
     return found.a[np.cumsum(closes_a) - closes_a], found.b[np.cumsum(closes_b) - closes_b]
 
 
-def spelled_groups(found: Aligned, left: Side, right: Side) -> str:
+@lru_cache(maxsize=2)
+def _numbers(size: int) -> pa.Array:
+    """Decimal numbers with a comma after them, then all with a bar, then all with a semicolon."""
+    return pa.array([f"{i}{mark}" for mark in ",|;" for i in range(size)], pa.large_string())
+
+
+def spelled_groups(found: Aligned, left: Side, right: Side) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides by group."""
-    a, b = left.decimal[found.a].tolist(), right.decimal[found.b].tolist()
-    out, p, r = [], 0, 0
-    for q, s in zip(found.cuts_a[1:], found.cuts_b[1:]):
-        out.append(f"{a[p]}|{b[r]}" if q - p == 1 == s - r else f"{','.join(a[p:q])}|{','.join(b[r:s])}")
-        p, r = q, s
-    return ";".join(out)
+    size = max(left.size, right.size)
+    a, b = found.a.copy(), found.b.copy()
+    a[found.cuts_a[1:] - 1] += size
+    b[found.cuts_b[1:] - 1] += 2 * size
+    # the ids of one side stand behind those of the other side's groups before them
+    text = np.empty(len(a) + len(b), np.int32)
+    text[np.arange(len(a)) + np.repeat(found.cuts_b[:-1], np.diff(found.cuts_a))] = a
+    text[np.arange(len(b)) + np.repeat(found.cuts_a[1:], np.diff(found.cuts_b))] = b
+    return _joined(_numbers(size), text)[:-1]
 
 
 def default_sides() -> tuple[Side, Side]:
@@ -183,9 +250,9 @@ def summaries(docs: DataFrame) -> DataFrame:
                     first, rows, pairs, times, size = i, [], [], [], 0
                 if i < batch.num_rows:
                     found = align(texts[i].as_py(), left, right)
-                    digest = hashlib.sha256(spelled_groups(found, left, right).encode()).hexdigest() if len(found.a) else ""
+                    digest = hashlib.sha256(spelled_groups(found, left, right)).hexdigest() if len(found.a) else ""
                     x, y = links(found)
-                    distinct, n = np.unique(x * base + y, return_counts=True)
+                    distinct, n = np.unique(x.astype(np.int64) * base + y, return_counts=True)
                     rows.append((len(found.a), len(found.b), len(found.cuts_a) - 1, len(x), digest))
                     pairs.append(distinct)
                     times.append(n.astype(np.int32))

@@ -124,3 +124,25 @@ def test_ids_and_cuts(awkward, libraries):
     for r in align.alignments(awkward).join(awkward.select("doc_id", "text").dropDuplicates(), "doc_id").collect():
         groups, _ = plain(r.text, libraries)
         assert [(r.a[p:q], r.b[s:t]) for p, q, s, t in zip(r.cuts_a, r.cuts_a[1:], r.cuts_b, r.cuts_b[1:])] == groups
+
+
+def test_piece_ids_are_those_of_the_model(libraries):
+    plain, model = align._Pieces(tokens.vocabulary_path(align.PIECE_FILE)), libraries[1]
+    kept = [model.id_to_piece(i).replace("▁", " ") for i in range(model.get_piece_size()) if not model.is_control(i)]
+    spaces = [before + " " * n + after for n in range(40) for before in ("", "a", "\n") for after in ("", "the", "é")]
+    words = ["x " + "ab" * n + " y" for n in (align.LONG_WORD // 2, align.LONG_WORD // 2 + 1, 3000)]
+    for text in [*kept, *("x " + piece for piece in kept), *filter(None, spaces), *words]:
+        assert plain.ids(text).tolist() == model.encode(text), text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PARTS, min_size=1, max_size=25).map("".join) | st.text(min_size=1, max_size=40))
+def test_piece_ids_of_any_text(libraries, text):
+    assert align.pieces(tokens.vocabulary_path(align.PIECE_FILE)).encode(text).tolist() == libraries[1].encode(text)
+
+
+def test_plain_words_need_no_slow_merge(monkeypatch):
+    plain = align._Pieces(tokens.vocabulary_path(align.PIECE_FILE))
+    want = plain._model.encode("The first  line,\nand ümläute follow.")
+    monkeypatch.setattr(plain, "_model", None)
+    assert plain.ids("The first  line,\nand ümläute follow.").tolist() == want
